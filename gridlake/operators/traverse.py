@@ -1,0 +1,211 @@
+"""Breadth-first forests, ancestor tables and cut analysis on undirected graphs.
+
+``what falls when this vertex (or edge) is removed`` is answered for *every* vertex at once and
+never by pairing scenarios with all vertices: removal of ``z`` can only cut vertices below ``z`` in a
+breadth-first forest, so the work is the size of the ancestor table plus the few edges outside the
+forest. In a radial network that equals the size of the answer.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridlake.operators.components import connected_components
+from gridlake.session import materialise
+
+
+def adjacency(edges: DataFrame, *extra: str) -> DataFrame:
+    """Both directions of each edge: a, b and the extra columns."""
+    pair = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
+                   F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
+    return edges.select(F.explode(pair).alias("_p"), *extra).select("_p.a", "_p.b", *extra)
+
+
+def breadth_first(edges: DataFrame, seeds: DataFrame, max_hops: int = 100_000) -> DataFrame:
+    """Breadth-first forest from all seeds at once.
+
+    ``edges``: src, dst, edge_id; ``seeds``: node, source, ord. Result: node, source, ord, hops,
+    parent, via. Equal hops go to the smaller ``ord``, then parent, then edge id.
+
+    The adjacency keeps one hash partitioning for all hops, only the frontier moves; a new
+    frontier needs comparing with the last two levels only, because edges never skip a level.
+    """
+    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    neighbours = materialise(
+        adjacency(edges.where(F.col("src") != F.col("dst")), "edge_id"), "adjacency"
+    )
+    neighbours = neighbours.repartition(partitions, "a").persist(StorageLevel.MEMORY_AND_DISK)
+    start = seeds.groupBy("node").agg(F.min(F.struct("ord", "source")).alias("_s")).select(
+        "node", "_s.source", "_s.ord", F.lit(0).alias("hops"),
+        F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"),
+        F.lit(None).cast(edges.schema["edge_id"].dataType).alias("via"),
+    )
+    levels = [materialise(start, "level")]
+    try:
+        for hop in range(1, max_hops + 1):
+            frontier = levels[-1].select(F.col("node").alias("a"), "source", "ord")
+            reached = (
+                neighbours.join(frontier, "a")
+                .groupBy(F.col("b").alias("node"))
+                .agg(F.min(F.struct("ord", F.col("a").alias("parent"), F.col("edge_id").alias("via"), "source")).alias("_s"))
+            )
+            for known in levels[-2:]:
+                reached = reached.join(known.select("node"), "node", "left_anti")
+            level = materialise(
+                reached.select(
+                    "node", "_s.source", "_s.ord", F.lit(hop).alias("hops"), "_s.parent", "_s.via"
+                ),
+                "level",
+            )
+            if level.isEmpty():
+                break
+            levels.append(level)
+    finally:
+        neighbours.unpersist()
+    return reduce(DataFrame.unionByName, levels)
+
+
+def ancestor_table(forest: DataFrame) -> DataFrame:
+    """node, anc, branch, dist for every strict ancestor; ``branch`` is the ancestor's child on the way.
+
+    Path doubling: about log2(depth) joins.
+    """
+    pairs = forest.where(F.col("parent").isNotNull()).select(
+        "node", F.col("parent").alias("anc"), F.col("node").alias("branch"), F.lit(1).alias("dist")
+    )
+    table = materialise(pairs, "ancestors")
+    step = 1
+    while True:
+        jumps = table.where(F.col("dist") == step).select("node", F.col("anc").alias("_mid"))
+        above = table.select(
+            F.col("node").alias("_mid"), "anc", "branch", (F.col("dist") + step).alias("dist")
+        )
+        further = materialise(
+            jumps.join(above, "_mid").select("node", "anc", "branch", "dist"), "ancestors"
+        )
+        if further.isEmpty():
+            return table
+        table = table.unionByName(further)
+        step *= 2
+
+
+def off_tree_edges(edges: DataFrame, forest: DataFrame) -> DataFrame:
+    """Edges between reached vertices that the forest does not use."""
+    used = forest.where(F.col("via").isNotNull()).select(
+        F.col("via").alias("edge_id"), F.least("node", "parent").alias("lo"), F.greatest("node", "parent").alias("hi")
+    )
+    keyed = edges.where(F.col("src") != F.col("dst")).withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
+    rest = keyed.join(used, ["edge_id", "lo", "hi"], "left_anti")
+    return rest.join(forest.select(F.col("node").alias("src")), "src", "left_semi").select("edge_id", "src", "dst")
+
+
+def _above(extra: DataFrame, ancestors: DataFrame, end: str, name: str) -> DataFrame:
+    """(edge_id, src, dst, anc, branch) for the ancestors of one end of the off-tree edges."""
+    return extra.join(
+        ancestors.select(F.col("node").alias(end), "anc", F.col("branch").alias(name)), end
+    )
+
+
+def vertex_cuts(edges: DataFrame, forest: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """For every vertex ``cut``: the vertices that lose all sources when it is removed.
+
+    Result: cut, lost, component (the pieces the lost side falls into; label = a branch vertex).
+    ``cut`` itself is not listed.
+    """
+    extra = materialise(off_tree_edges(edges, forest), "offtree")
+    branches = ancestors.where(F.col("dist") == 1).select(F.col("anc").alias("cut"), F.col("node").alias("branch"))
+    if extra.isEmpty():
+        return ancestors.select(
+            F.col("anc").alias("cut"), F.col("node").alias("lost"), F.col("branch").alias("component")
+        )
+    up = _above(extra, ancestors, "src", "bs").select("edge_id", "src", "dst", "anc", "bs")
+    down = _above(extra, ancestors, "dst", "bd").select("edge_id", "src", "dst", "anc", "bd")
+    both = materialise(up.join(down, ["edge_id", "src", "dst", "anc"], "full"), "links").where(
+        (F.col("anc") != F.col("src")) & (F.col("anc") != F.col("dst"))
+    )
+    # a branch with one edge end outside stays supplied
+    outside = both.where(F.col("bs").isNull() | F.col("bd").isNull()).select(
+        F.col("anc").alias("cut"), F.coalesce("bs", "bd").alias("branch")
+    )
+    links = both.where(F.col("bs") != F.col("bd"))
+
+    def key(cut, branch):
+        return F.concat(cut.cast("string"), F.lit("\u0001"), branch.cast("string"))
+
+    keyed = branches.withColumn("node", key(F.col("cut"), F.col("branch")))
+    labels = connected_components(
+        links.select(key(F.col("anc"), F.col("bs")).alias("src"), key(F.col("anc"), F.col("bd")).alias("dst"))
+    )
+    grouped = keyed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    supplied = (
+        outside.distinct().join(grouped, ["cut", "branch"]).select("component").distinct()
+    )
+    lost = grouped.join(supplied, "component", "left_anti").select(
+        "cut", "branch", F.element_at(F.split("component", "\u0001"), 2).alias("component")
+    )
+    return ancestors.select(F.col("anc").alias("cut"), F.col("node").alias("lost"), "branch").join(
+        lost, ["cut", "branch"]
+    ).select("cut", "lost", F.col("component").cast(forest.schema["node"].dataType).alias("component"))
+
+
+def edge_cuts(edges: DataFrame, forest: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """For every forest edge: the vertices that lose all sources when the edge opens.
+
+    Result: edge_id, child, lost. A subtree that any other edge leaves loses nothing, and opening an
+    edge outside the forest loses nothing.
+    """
+    extra = materialise(off_tree_edges(edges, forest), "offtree")
+    subtree = ancestors.select(F.col("anc").alias("child"), F.col("node").alias("lost")).unionByName(
+        forest.select(F.col("node").alias("child"), F.col("node").alias("lost"))
+    )
+    tops = forest.where(F.col("parent").isNotNull()).select(F.col("via").alias("edge_id"), F.col("node").alias("child"))
+    if not extra.isEmpty():
+        # an off-tree edge keeps alive every subtree that holds exactly one of its ends
+        ends = extra.withColumn("_n", F.monotonically_increasing_id())
+        ends = materialise(ends.select("_n", F.explode(F.array("src", "dst")).alias("lost")), "ends")
+        crossing = ends.join(subtree, "lost").groupBy("_n", "child").agg(F.count(F.lit(1)).alias("k")).where("k = 1")
+        tops = tops.join(crossing.select("child").distinct(), "child", "left_anti")
+    return tops.join(subtree, "child").select("edge_id", "child", "lost")
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame, keys: list[str], max_rounds: int = 100_000) -> DataFrame:
+    """Least total weight per (keys, node) by frontier relaxation, with parent and edge.
+
+    ``edges``: keys, src, dst, weight; ``seeds``: keys, node. Only improved rows are propagated.
+    Result: keys, node, length, parent.
+    """
+    pair = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
+                   F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
+    steps = materialise(
+        edges.select(*keys, "weight", F.explode(pair).alias("_p")).select(*keys, "_p.a", "_p.b", "weight"), "steps"
+    )
+    node_type = edges.schema["src"].dataType
+    best = materialise(
+        seeds.select(*keys, "node", F.lit(0.0).alias("length"), F.lit(None).cast(node_type).alias("parent")).distinct(),
+        "paths",
+    )
+    frontier = best
+    for _ in range(max_rounds):
+        moved = (
+            frontier.select(*keys, F.col("node").alias("a"), "length").join(steps, [*keys, "a"])
+            .select(*keys, F.col("b").alias("node"), (F.col("length") + F.col("weight")).alias("length"), F.col("a").alias("parent"))
+            .groupBy(*keys, "node").agg(F.min(F.struct("length", "parent")).alias("_s"))
+            .select(*keys, "node", "_s.length", "_s.parent")
+        )
+        known = best.select(*keys, "node", F.col("length").alias("_old"))
+        better = materialise(
+            moved.join(known, [*keys, "node"], "left")
+            .where(F.col("_old").isNull() | (F.col("length") < F.col("_old"))).drop("_old"),
+            "paths",
+        )
+        if better.isEmpty():
+            return best
+        best = materialise(
+            best.join(better.select(*keys, "node"), [*keys, "node"], "left_anti").unionByName(better), "paths"
+        )
+        frontier = better
+    raise RuntimeError("paths did not converge")
