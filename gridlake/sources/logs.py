@@ -52,7 +52,7 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("file", "line", "pos", *[F.col(f"_r.{f}").alias(f) for f in fields], problem.alias("problem"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical_body(seq: pd.Series, ts: pd.Series, kind: pd.Series, data: pd.Series, previous: pd.Series) -> pd.Series:
     """Key-sorted compact JSON of a record without its hash, as the writer serialises it."""
 
