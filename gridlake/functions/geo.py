@@ -253,20 +253,36 @@ _ALPHA = (
 )
 
 
-def utm(lon: Column, lat: Column, central_meridian: float = -45.0) -> tuple[Column, Column]:
-    """Transverse Mercator metres (GRS 80 ellipsoid, southern false northing) as column arithmetic.
-
-    Third-order series in the third flattening: sub-millimetre inside a zone.
-    """
+def _conformal(lon, lat, central_meridian: float):
+    """(tangent of the conformal latitude, longitude from the meridian), both in the sphere."""
     e = 2 * math.sqrt(_N) / (1 + _N)
-    phi, lam = F.radians(lat), F.radians(lon - F.lit(central_meridian))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(F.lit(1.0) + t * t))
+    s = F.sin(F.radians(lat))
+    return F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s)), F.radians(lon - F.lit(central_meridian))
+
+
+def _grid(xi, eta):
     east, north = eta, xi
     for j, alpha in enumerate(_ALPHA, start=1):
         east = east + F.lit(alpha) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
         north = north + F.lit(alpha) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
     scale = 0.9996 * _RECTIFYING
     return F.lit(500_000.0) + F.lit(scale) * east, F.lit(10_000_000.0) + F.lit(scale) * north
+
+
+def with_utm(
+    df: DataFrame, lon: Column, lat: Column, *, x: str = "x", y: str = "y", central_meridian: float = -45.0
+) -> DataFrame:
+    """Adds transverse Mercator metres (GRS 80 ellipsoid, southern false northing).
+
+    Third-order series in the third flattening, sub-millimetre inside a zone. The intermediate
+    angles are columns of their own, so each is computed once per row.
+    """
+    t, lam = _conformal(lon, lat, central_meridian)
+    staged = df.withColumns({"_t": t, "_lam": lam}).withColumns(
+        {
+            "_xi": F.atan2(F.col("_t"), F.cos("_lam")),
+            "_eta": F.atanh(F.sin("_lam") / F.sqrt(F.lit(1.0) + F.col("_t") * F.col("_t"))),
+        }
+    )
+    east, north = _grid(F.col("_xi"), F.col("_eta"))
+    return staged.withColumns({x: east, y: north}).drop("_t", "_lam", "_xi", "_eta")

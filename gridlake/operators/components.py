@@ -20,6 +20,10 @@ def _jump(pointer: DataFrame) -> DataFrame:
     return pointer.join(onward, "p").select("node", F.col("_q").alias("p"))
 
 
+def _priority(round_no: int, node):
+    return F.struct(F.xxhash64(F.lit(round_no), node).alias("h"), node.alias("n"))
+
+
 def connected_components(
     edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60
 ) -> DataFrame:
@@ -27,26 +31,28 @@ def connected_components(
 
     ``edges``: src, dst (undirected, repeats and loops allowed); ``nodes``: node, adds isolated ones.
 
-    Every round points each node at its smallest neighbour, shortens the pointers twice and rewrites
-    the edges between the survivors. The edge table shrinks geometrically, so all rounds together
-    cost about as much as the first; the pointer tables are composed from the smallest upwards.
-    A hub's neighbour minimum is combined map-side, and its edges are only rewritten by equi-joins.
+    Every round gives the nodes a fresh pseudo-random priority and points each node at the one of
+    least priority within two steps. Such pointer chains are short, so a few jumps lead to their
+    roots whatever the order of the ids; the edges are then rewritten between roots. The edge table shrinks geometrically, all rounds together cost about as much as the
+    first, and the pointer tables are composed from the smallest upwards. A hub's neighbour minimum
+    is combined map-side, and its edges are only rewritten by equi-joins.
     """
     both = edges.where(F.col("src") != F.col("dst")).select(
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     ).distinct()
     current = materialise(both, "edges")
     maps: list[DataFrame] = []
-    for _ in range(max_rounds):
+    for round_no in range(max_rounds):
         if current.isEmpty():
             break
-        pointer = (
-            _both_ways(current).groupBy("a").agg(F.min("b").alias("m"))
-            .select(F.col("a").alias("node"), F.least("a", "m").alias("p"))
+        both_ways = _both_ways(current)
+        near = both_ways.groupBy("a").agg(F.min(_priority(round_no, F.col("b"))).alias("m")).select(
+            "a", F.least(_priority(round_no, F.col("a")), F.col("m")).alias("m")
         )
-        pointer = materialise(pointer, "pointer")
+        # least priority within two steps
+        far = both_ways.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("m").alias("m"))
+        pointer = far.select(F.col("a").alias("node"), F.col("m.n").alias("p"))
         shortened = materialise(_jump(_jump(pointer)), "pointer")
-        discard(pointer)
         left = shortened.select(F.col("node").alias("src"), F.col("p").alias("ps"))
         right = shortened.select(F.col("node").alias("dst"), F.col("p").alias("pd"))
         rewritten = (
@@ -62,15 +68,16 @@ def connected_components(
     else:
         raise RuntimeError("components did not converge")
     if not maps:
-        labels = current.select(F.col("src").alias("node"), F.col("dst").alias("p"))
+        labels = current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     else:
         labels = maps[-1]
         for smaller in reversed(maps[:-1]):
-            upper = labels.select(F.col("node").alias("p"), F.col("p").alias("q"))
-            labels = smaller.join(upper, "p", "left").select("node", F.coalesce("q", "p").alias("p"))
-    labels = labels.select("node", F.col("p").alias("component"))
+            upper = labels.select(F.col("node").alias("p"), F.col("p").alias("_q"))
+            labels = smaller.join(upper, "p", "left").select("node", F.coalesce("_q", "p").alias("p"))
+        rooted = materialise(labels, "roots")
+        least = rooted.groupBy("p").agg(F.min("node").alias("component"))
+        labels = rooted.join(least, "p").select("node", "component")
     if nodes is not None:
-        labels = nodes.select("node").distinct().join(labels, "node", "left").select(
-            "node", F.coalesce("component", "node").alias("component")
-        )
+        alone = nodes.select("node").distinct().join(labels.select("node"), "node", "left_anti")
+        labels = labels.unionByName(alone.select("node", F.col("node").alias("component")))
     return materialise(labels, "components")

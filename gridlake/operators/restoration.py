@@ -44,6 +44,7 @@ class ZoneGraph:
     forest: DataFrame  # breadth-first forest over closed links
     ancestors: DataFrame  # node, anc, branch, dist
     customers: DataFrame  # zone, n_nodes, ucbt, ucmt, trafos, kva
+    switches: DataFrame  # gate, ctmt_chave, tlcd, tip_unid, externa
 
 
 def zone_labels(edges: DataFrame) -> DataFrame:
@@ -76,7 +77,10 @@ def zone_graph(edges: DataFrame, sources: DataFrame, customers: DataFrame) -> Zo
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CUSTOMER_COLUMNS[:3]],
         F.coalesce(F.sum(F.col("kva").cast("decimal(28,6)")).cast("double"), F.lit(0.0)).alias("kva"),
     )
-    return ZoneGraph(zones, links, seeds, forest, ancestor_table(forest), materialise(totals, "totals"))
+    switches = edges.where(F.col("kind") == SWITCH).select(
+        "gate", F.col("ctmt").alias("ctmt_chave"), "tlcd", "tip_unid", F.col("external").alias("externa")
+    )
+    return ZoneGraph(zones, links, seeds, forest, ancestor_table(forest), materialise(totals, "totals"), switches)
 
 
 def boundaries(graph: ZoneGraph) -> DataFrame:
@@ -254,10 +258,7 @@ def restoration_options(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
         F.sum("n_nodes").alias("nos"), *[F.sum(c).alias(c) for c in CUSTOMER_COLUMNS]
     )
     served = source_load(graph, isolation, chosen.select("cut", "fonte").distinct())
-    switches = graph.links.where(F.col("kind") == SWITCH).select(
-        "gate", F.col("ctmt").alias("ctmt_chave"), "tlcd", "tip_unid", F.col("external").alias("externa")
-    )
-    rows = totals.join(switches, "gate").join(served, ["cut", "fonte"], "left").withColumn(
+    rows = totals.join(graph.switches, "gate").join(served, ["cut", "fonte"], "left").withColumn(
         "clientes", F.col("ucbt") + F.col("ucmt")
     )
     ranked = rank_in_group(

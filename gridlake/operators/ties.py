@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.columns import number, round_to
-from gridlake.functions.geo import part_ends, utm, with_shape
+from gridlake.functions.geo import part_ends, with_shape, with_utm
 from gridlake.operators.spatial import points_near_polygons, proximity_pairs
 
 RADIUS_M = 2.0
@@ -24,11 +24,10 @@ def segment_ends(segments: DataFrame, project: bool = True, central_meridian: fl
     shaped = with_shape(segments.select("COD_ID", "CTMT", "PAC_1", "PAC_2", "geometry")).drop("geometry")
     ends = part_ends(shaped)
     node = F.when(F.col("end") == 1, F.col("PAC_1")).otherwise(F.col("PAC_2"))
-    x, y = utm(F.col("x"), F.col("y"), central_meridian) if project else (F.col("x"), F.col("y"))
-    return ends.select(
-        F.col("COD_ID").alias("SSDMT_VIZ"), F.col("CTMT").alias("CTMT_VIZ"), node.alias("PAC_VIZ"),
-        x.alias("x"), y.alias("y"),
+    named = ends.select(
+        F.col("COD_ID").alias("SSDMT_VIZ"), F.col("CTMT").alias("CTMT_VIZ"), node.alias("PAC_VIZ"), "x", "y"
     )
+    return with_utm(named, F.col("x"), F.col("y"), central_meridian=central_meridian) if project else named
 
 
 def detect_ties(
@@ -55,12 +54,10 @@ def detect_ties(
     points = with_shape(
         chosen.select("COD_ID", "CTMT", "P_N_OPE", "TLCD", "TIP_UNID", "geometry")
     ).where(F.col("shape.minx").isNotNull())
-    lon, lat = F.col("shape.minx"), F.col("shape.miny")
-    x, y = utm(lon, lat, central_meridian)
     points = points.select(
-        "COD_ID", "CTMT", "P_N_OPE", "TLCD", "TIP_UNID", lon.alias("lon"), lat.alias("lat"),
-        x.alias("x"), y.alias("y"),
+        "COD_ID", "CTMT", "P_N_OPE", "TLCD", "TIP_UNID", F.col("shape.minx").alias("lon"), F.col("shape.miny").alias("lat")
     )
+    points = with_utm(points, F.col("lon"), F.col("lat"), central_meridian=central_meridian)
     pairs = proximity_pairs(points, segment_ends(segments, central_meridian=central_meridian), radius_m)
     if substations is None:
         pairs = pairs.withColumn("EM_SUB", F.lit(False))
@@ -85,19 +82,14 @@ def detect_ties(
 def substation_polygons(substations: DataFrame, central_meridian: float = -45.0) -> DataFrame:
     """Substation polygons in metres: id, edge array, extent."""
     shaped = with_shape(substations.select("COD_ID", "geometry")).where(F.size("shape.edges") > 0)
-
-    def project(e):
-        x1, y1 = utm(e.x1, e.y1, central_meridian)
-        x2, y2 = utm(e.x2, e.y2, central_meridian)
-        return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-
-    edges = F.transform(F.col("shape.edges"), project)
-    return shaped.select(F.col("COD_ID").alias("polygon_id"), edges.alias("edges")).select(
-        "polygon_id", "edges",
-        F.array_min(F.transform("edges", lambda e: F.least(e.x1, e.x2))).alias("minx"),
-        F.array_min(F.transform("edges", lambda e: F.least(e.y1, e.y2))).alias("miny"),
-        F.array_max(F.transform("edges", lambda e: F.greatest(e.x1, e.x2))).alias("maxx"),
-        F.array_max(F.transform("edges", lambda e: F.greatest(e.y1, e.y2))).alias("maxy"),
+    sides = shaped.select(F.col("COD_ID").alias("polygon_id"), F.posexplode("shape.edges").alias("at", "e"))
+    start = with_utm(sides, F.col("e.x1"), F.col("e.y1"), x="x1", y="y1", central_meridian=central_meridian)
+    both = with_utm(start, F.col("e.x2"), F.col("e.y2"), x="x2", y="y2", central_meridian=central_meridian)
+    # the edges of one polygon: bounded by its own outline
+    return both.groupBy("polygon_id").agg(
+        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
+        F.min(F.least("x1", "x2")).alias("minx"), F.min(F.least("y1", "y2")).alias("miny"),
+        F.max(F.greatest("x1", "x2")).alias("maxx"), F.max(F.greatest("y1", "y2")).alias("maxy"),
     )
 
 

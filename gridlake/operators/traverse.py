@@ -44,29 +44,33 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_hops: int = 100_000) -
         F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"),
         F.lit(None).cast(edges.schema["edge_id"].dataType).alias("via"),
     )
-    levels = [materialise(start, "level")]
-    try:
-        for hop in range(1, max_hops + 1):
-            frontier = levels[-1].select(F.col("node").alias("a"), "source", "ord")
-            reached = (
-                neighbours.join(frontier, "a")
-                .groupBy(F.col("b").alias("node"))
-                .agg(F.min(F.struct("ord", F.col("a").alias("parent"), F.col("edge_id").alias("via"), "source")).alias("_s"))
-            )
-            for known in levels[-2:]:
+    columns = ["node", "source", "ord", "hops", "parent", "via"]
+
+    def advance(level: DataFrame, before: DataFrame | None, hop: int) -> DataFrame:
+        frontier = level.select(F.col("node").alias("a"), "source", "ord")
+        reached = neighbours.join(frontier, "a").groupBy(F.col("b").alias("node")).agg(
+            F.min(F.struct("ord", F.col("a").alias("parent"), F.col("edge_id").alias("via"), "source")).alias("_s")
+        )
+        for known in (level, before):
+            if known is not None:
                 reached = reached.join(known.select("node"), "node", "left_anti")
-            level = materialise(
-                reached.select(
-                    "node", "_s.source", "_s.ord", F.lit(hop).alias("hops"), "_s.parent", "_s.via"
-                ),
-                "level",
-            )
+        return reached.select("node", "_s.source", "_s.ord", F.lit(hop).alias("hops"), "_s.parent", "_s.via")
+
+    written = [materialise(start, "level")]
+    level, before = written[0], None
+    try:
+        for hop in range(1, max_hops, 2):
+            # two levels per written table
+            first = advance(level, before, hop)
+            second = advance(first, level, hop + 1)
+            pair = materialise(first.unionByName(second), "level").select(*columns)
+            written.append(pair)
+            before, level = pair.where(F.col("hops") == hop), pair.where(F.col("hops") == hop + 1)
             if level.isEmpty():
                 break
-            levels.append(level)
     finally:
         neighbours.unpersist()
-    return reduce(DataFrame.unionByName, levels)
+    return reduce(DataFrame.unionByName, written)
 
 
 def ancestor_table(forest: DataFrame) -> DataFrame:
