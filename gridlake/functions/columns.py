@@ -245,6 +245,32 @@ def degrees_for_metres(lat_mid: Column, metres: float) -> tuple[Column, Column]:
     return F.lit(metres) / (F.lit(111_320.0) * cosine), dy
 
 
+# --- semi-structured -------------------------------------------------------------------------
+
+
+def json_path(payload: Column, path: str) -> Column:
+    """``a.b[0].c`` of JSON text as text; ``len(path)`` as a count and ``sum/min/max(path)`` over the
+    numbers of an array as doubles. Anything missing is null (P12)."""
+    path = path.strip()
+    outer, inner = None, path
+    if path.endswith(")") and "(" in path:
+        outer, inner = path[:-1].split("(", 1)
+    value = F.try_parse_json(payload)
+    step = "$." + inner if not inner.startswith("[") else "$" + inner
+    if outer is None:
+        return F.try_variant_get(value, step, "string")
+    items = F.try_variant_get(value, step, "array<variant>")
+    if outer == "len":
+        return F.coalesce(F.size(items), F.size(F.try_variant_get(value, step, "map<string,variant>")))
+    if outer not in ("sum", "min", "max"):
+        raise ValueError(f"unknown function in path: {path}")
+    numbers = F.filter(F.transform(items, lambda v: F.try_variant_get(v, "$", "double")), lambda x: x.isNotNull())
+    if outer == "sum":
+        total = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+        return F.when(F.size(numbers) > 0, total)
+    return F.array_min(numbers) if outer == "min" else F.array_max(numbers)
+
+
 # --- scores ----------------------------------------------------------------------------------
 
 

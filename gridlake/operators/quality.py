@@ -323,7 +323,8 @@ def quality_summary(catalog: LayerCatalog, *, drop_limit_m: float = 300.0, pole_
         rows.append(summary_row("ramlig", long_tail(drops, limit=drop_limit_m), "count", "universe", longest(drops, limit=drop_limit_m, n=n), "COD_ID", n))
     else:
         absent("ramlig")
-    if all(catalog.has(x) for x in ("UCBT_tab", "PONNOT", "UNTRMT")):
+    placed = all(catalog.has(x) and "geometry" in catalog.columns(x) for x in ("PONNOT", "UNTRMT"))
+    if placed and catalog.has("UCBT_tab"):
         def located(layer: str) -> DataFrame:
             return with_shape(catalog.read(layer, ["COD_ID"])).select(
                 text_or_null(F.col("COD_ID")).alias("COD_ID"), F.col("shape.minx").alias("x"), F.col("shape.miny").alias("y")
