@@ -80,15 +80,16 @@ def event_timeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{sf}/events.parquet"
-    return jobs.stream_files(spark, path, spark.read.parquet(path).schema, "parquet")
+    schema = table(spark, sf, "events").schema
+    # a pattern, so that the dataset may be one file or a folder of files
+    return jobs.stream_files(spark, f"{sf}/event[s].parquet", schema, "parquet")
 
 
 @query("incremental_events", "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS total FROM events GROUP BY 1")
 def incremental_events(spark: SparkSession, sf: str) -> DataFrame:
     """ST1, S11: the queue is consumed to a table, then summarised."""
     sink, checkpoint = jobs.stream_paths(spark, "events")
-    jobs.run_to_end(jobs.consume_events(_stream(spark, sf), sink, checkpoint, key="event_id", time="ts", delay="1 hour"))
+    jobs.run_to_end(jobs.consume_events(_stream(spark, sf), sink, checkpoint))
     return spark.read.parquet(sink).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(28,6)")).cast("double").alias("total"))
 
 

@@ -39,12 +39,13 @@ def _replace_batch(rows: DataFrame, path: str, batch_id: int) -> None:
 def consume_events(events: DataFrame, sink: str, checkpoint: str, *, key: str = "id", time: str | None = None, delay: str = "1 day", trigger: str | None = None) -> StreamingQuery:
     """Append new events once each (ST1).
 
-    File offsets already deliver a file once; with ``time`` an event repeated in another file within
-    ``delay`` is dropped as well, and the state behind that is evicted by the watermark.
+    File offsets already deliver a file once and nothing is left out. With ``time`` an event repeated
+    in another file within ``delay`` is dropped too; the price is a watermark, so choose a delay no
+    event exceeds.
     """
     rows = events
     if time is not None:
-        rows = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+        rows = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
     writer = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
     return _start(writer, trigger)
 
