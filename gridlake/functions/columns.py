@@ -198,7 +198,7 @@ def segment_of_element(element: Column) -> Column:
 
 def split_codes(c: Column, separator: str = ";") -> Column:
     """``;`` list to an array of trimmed non-blank codes."""
-    parts = F.transform(F.split(F.coalesce(c.cast("string"), F.lit("")), separator), F.trim)
+    parts = F.transform(F.split(F.coalesce(c.cast("string"), F.lit("")), separator), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

@@ -7,10 +7,12 @@ scenario is a zone, and everything a fault does follows from which zones hang be
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.functions.columns import round_to
 from gridlake.functions.ordered import rank_in_group
 from gridlake.operators.components import connected_components
 from gridlake.operators.network import (
@@ -27,6 +29,7 @@ from gridlake.operators.traverse import (
     breadth_first,
     edge_cuts,
     off_tree_edges,
+    shortest_paths,
     vertex_cuts,
 )
 from gridlake.session import materialise
@@ -367,6 +370,54 @@ def reclose_effect(graph: ZoneGraph, isolation: Isolation, footprint: DataFrame)
     )
 
 
+def voltage_profile(
+    graph: ZoneGraph, isolation: Isolation, edges: DataFrame, sources: DataFrame, chosen: DataFrame, voltages: DataFrame
+) -> DataFrame:
+    """Voltage along the longest path that each chosen option transfers.
+
+    ``chosen``: zone, chave, fonte (a subset of the options); ``voltages``: barra, v_pu of the phase
+    nodes. Only the source's own zones and the recovered ones are searched. The far end is the
+    recovered node of the greatest length (then name); result: zone, chave, barra, distancia_m, v_pu.
+    """
+    keys = ["zone", "chave"]
+    chosen = materialise(chosen.select(*keys, "fonte").distinct(), "chosen")
+    recovered = chosen.select(F.col("zone").alias("cut"), F.col("chave").alias("gate")).join(
+        recovered_components(graph, isolation), ["cut", "gate"]
+    ).join(isolation.lost, ["cut", "component"]).select(F.col("cut").alias("zone"), F.col("gate").alias("chave"), F.col("lost").alias("z"))
+    gone = isolation.lost.select(F.col("cut").alias("zone"), F.col("lost").alias("z"))
+    own = chosen.join(graph.forest.select(F.col("source").alias("fonte"), F.col("node").alias("z")), "fonte").where(
+        F.col("z") != F.col("zone")
+    ).join(gone, ["zone", "z"], "left_anti").select(*keys, "z")
+    members = own.unionByName(recovered).distinct().join(
+        graph.zones.select("node", F.col("zone").alias("z")), "z"
+    ).select(*keys, "node")
+    members = materialise(members, "members")
+    barrier = isolation.boundary.select("zone", F.col("gate").alias("edge_id"), F.lit(True).alias("_cut"))
+    usable = (
+        edges.select("edge_id", "kind", "src", "dst", F.coalesce("comp", F.lit(0.0)).alias("weight"), "open")
+        .join(members.withColumnRenamed("node", "src"), "src")
+        .join(members.withColumnRenamed("node", "dst"), [*keys, "dst"])
+        .join(barrier, ["zone", "edge_id"], "left")
+        .where((F.col("kind") != SWITCH) | (F.col("edge_id") == F.col("chave")) | (~F.col("open") & F.col("_cut").isNull()))
+    )
+    seeds = chosen.join(sources.select(F.col("ctmt").alias("fonte"), "node"), "fonte").select(*keys, "node")
+    paths = shortest_paths(usable.select(*keys, "src", "dst", "weight"), seeds, keys)
+    ends = recovered.join(graph.zones.select("node", F.col("zone").alias("z")), "z").join(paths, [*keys, "node"]).groupBy(*keys).agg(
+        F.max(F.struct("length", "node", "parent")).alias("_t")
+    )
+    walked = [materialise(ends.select(*keys, "_t.node", "_t.length", "_t.parent"), "walk")]
+    while True:
+        above = walked[-1].where(F.col("parent").isNotNull()).select(*keys, F.col("parent").alias("node"))
+        step = materialise(above.join(paths, [*keys, "node"]).select(*keys, "node", "length", "parent"), "walk")
+        if step.isEmpty():
+            break
+        walked.append(step)
+    lowest = voltages.groupBy(F.lower("barra").alias("_b")).agg(F.min("v_pu").alias("v_pu"))
+    return reduce(DataFrame.unionByName, walked).withColumn("_b", F.lower("node")).join(lowest, "_b", "left").select(
+        *keys, F.col("node").alias("barra"), round_to(F.col("length"), 1).alias("distancia_m"), "v_pu"
+    )
+
+
 def step_sequence(options: DataFrame, isolation: Isolation, footprint: DataFrame | None = None) -> DataFrame:
     """Safe order of steps per option (N13): open the boundary, reclose, close the open switch.
 
@@ -403,5 +454,5 @@ def step_sequence(options: DataFrame, isolation: Isolation, footprint: DataFrame
 __all__ = [
     "EXTERNAL", "Isolation", "ZoneGraph", "boundaries", "fault_footprint", "isolate_zones", "isolation_table",
     "node_downstream", "reclose_effect", "recovered_components", "restoration_options", "segment_zones",
-    "source_load", "step_sequence", "sum_customers", "switch_downstream", "zone_graph", "zone_labels", "zone_paths",
+    "source_load", "step_sequence", "sum_customers", "switch_downstream", "voltage_profile", "zone_graph", "zone_labels", "zone_paths",
 ]

@@ -127,6 +127,21 @@ def test_restoration_and_impact(catalog, grid, zones):
     assert abs(impact.dec_horas - 700.0 / 9 / 60) < 1e-12
 
 
+def test_voltage_profile(spark, grid, zones):
+    graph, isolation = zones
+    zone = {r.edge_id: r.zone for r in rst.segment_zones(grid["edges"], graph.zones).collect()}["SEG001"]
+    chosen = spark.createDataFrame([(zone, "CH003", "RJO002")], "zone string, chave string, fonte string")
+    volts = spark.createDataFrame([("rjo001_mt_6", 0.97), ("rjo001_mt_6", 0.96), ("rjo002_mt_0", 1.0)], "barra string, v_pu double")
+    rows = rst.voltage_profile(graph, isolation, grid["edges"], grid["sources"], chosen, volts).orderBy("distancia_m", "barra").collect()
+    nodes = {r.barra: r for r in rows}
+    tip = max(rows, key=lambda r: r.distancia_m)
+    assert nodes["RJO002_MT_0"].distancia_m == 0.0 and nodes["RJO002_MT_0"].v_pu == 1.0
+    assert {"RJO002_MT_4", "RJO002_MT_5", "RJO001_MT_7", "RJO001_MT_5", "RJO001_MT_4"} <= set(nodes)
+    assert tip.barra in ("RJO001_MT_3", "RJO001_MT_4", "RJO001_MT_6") and len(rows) == 10
+    expected = sum(r.COMP for r in grid["segments"].where("COD_ID in ('SEG004','SEG005','SEG007','SEG003')").collect())
+    assert abs(nodes["RJO001_MT_4"].distancia_m - expected) < 0.06
+
+
 def test_paths_and_footprint(grid, zones):
     graph, isolation = zones
     zone = {r.edge_id: r.zone for r in rst.segment_zones(grid["edges"], graph.zones).collect()}
