@@ -380,11 +380,12 @@ def restoration(spark: SparkSession, sf: str) -> DataFrame:
     return options(spark, sf).drop("tip_unid", "externa", "trafos", "kva")
 
 
-def option_nodes(spark: SparkSession, sf: str) -> DataFrame:
+def option_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """Zones each option recovers; the zone stands for its nodes, whose totals are already summed."""
     graph, iso = zones(spark, sf)
-    return rst.recovered_components(graph, iso).join(iso.lost, ["cut", "component"]).join(
-        graph.zones.withColumnRenamed("zone", "lost"), "lost"
-    ).select(F.col("cut").alias("zone"), F.col("gate").alias("chave"), "node").distinct()
+    return rst.recovered_components(graph, iso).join(iso.lost, ["cut", "component"]).select(
+        F.col("cut").alias("zone"), F.col("gate").alias("chave"), F.col("lost").alias("node")
+    )
 
 
 @query(
@@ -414,8 +415,12 @@ def impact_query(spark: SparkSession, sf: str) -> DataFrame:
     """Region by customers only."""
     g = grid(spark, sf)
     lost = rst.isolation_table(*zones(spark, sf)).select("zone", (F.col("desligados_ucbt") + F.col("desligados_ucmt")).alias("desligados"))
+    place = zones(spark, sf)[0].zones
+    regions = impact.node_regions(g["UNTRMT"], g["UCBT_tab"], g["UCMT_tab"]).join(place, "node").groupBy(
+        F.col("zone").alias("node"), "region"
+    ).agg(F.sum("n").alias("n"))
     return impact.option_impact(
-        options(spark, sf), option_nodes(spark, sf), lost, regions=impact.node_regions(g["UNTRMT"], g["UCBT_tab"], g["UCMT_tab"]),
+        options(spark, sf), option_zones(spark, sf), lost, regions=regions,
         totals=impact.region_totals(g["UCBT_tab"], g["UCMT_tab"]),
     ).drop("tempo_reparo_min", "tempo_manobra_min", "dec_minutos", "region_name")
 

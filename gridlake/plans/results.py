@@ -213,7 +213,7 @@ def region_summary(spark: SparkSession, sf: str) -> DataFrame:
 def stage_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A35."""
     rows = table(spark, sf, "events").selectExpr("event_type AS etapa", "IF(value < 100, 'sucesso', 'falha') AS status", "props AS motivo", "user_id AS ctmt")
-    return results.stage_summary(rows, None)
+    return results.stage_summary(rows)
 
 
 @query(

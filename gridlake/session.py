@@ -60,10 +60,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def app_scratch(spark: SparkSession) -> str:
+    """This application's own folder inside the scratch area."""
+    return f"{scratch_dir(spark)}/gridlake-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the scratch area; call it when results are saved."""
+    _delete(spark, app_scratch(spark))
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the scratch area and return a scan over the written table."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/gridlake-{tag}-{uuid.uuid4().hex}"
+    path = f"{app_scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._gridlake_path = path  # type: ignore[attr-defined]
@@ -75,7 +91,4 @@ def discard(df: DataFrame | None) -> None:
     path = getattr(df, "_gridlake_path", None)
     if path is None:
         return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(df.sparkSession, path)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from gridlake.operators.audit import GENESIS
-from gridlake.session import scratch_dir
+from gridlake.session import app_scratch
 from gridlake.sources.logs import EVENT_SCHEMA
 
 BATCH = "_batch"
@@ -116,5 +116,5 @@ def run_to_end(query: StreamingQuery) -> None:
 
 def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh (sink, checkpoint) folders in the shared scratch area."""
-    root = f"{scratch_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    root = f"{app_scratch(spark)}/stream-{name}-{uuid.uuid4().hex}"
     return f"{root}/sink", f"{root}/checkpoint"

@@ -7,7 +7,7 @@ import struct
 
 import pytest
 
-from gridlake.session import build_session
+from gridlake.session import build_session, clear_scratch
 from gridlake.sources.catalog import LayerCatalog, contract_type
 
 
@@ -21,6 +21,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 
