@@ -26,10 +26,12 @@ def range_chunks(df: DataFrame, order: Sequence[str | Column], chunks: int | Non
     """Range-partition on ``order`` and store the range number in ``_chunk``.
 
     The result is written out, so the range bounds (which Spark samples) are drawn exactly once.
+    Without ``chunks`` there are as many ranges as shuffle partitions, and AQE merges neighbouring
+    ones that are small.
     """
-    spark = df.sparkSession
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *_as_columns(order)).withColumn(CHUNK, F.spark_partition_id())
+    columns = _as_columns(order)
+    ranged = df.repartitionByRange(chunks, *columns) if chunks else df.repartitionByRange(*columns)
+    ranged = ranged.withColumn(CHUNK, F.spark_partition_id())
     return materialise(ranged, "ranges")
 
 

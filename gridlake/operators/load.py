@@ -236,8 +236,7 @@ def rebalance_phases(
     prepared = loads.withColumns(
         {"_mask": F.when(movable, mask).otherwise(0), "_kw": F.greatest(F.coalesce(F.col(kw), F.lit(0.0)), F.lit(0.0)), "_now": F.coalesce(index, F.lit(0))}
     )
-    partitions = int(loads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = prepared.repartition(partitions, group).sortWithinPartitions(group, *order)
+    ordered = prepared.repartition(group).sortWithinPartitions(group, *order)
     schema = loads.withColumn("_new", F.lit(0)).schema
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

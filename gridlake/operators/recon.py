@@ -24,7 +24,7 @@ def match_map(base: DataFrame) -> DataFrame:
     coded = base.where(F.col("ceg_gd") != "")
     return coded.groupBy("ceg_gd").agg(
         sorted_text_list(F.col("ctmt")).alias("ctmt"),
-        F.count_distinct("ctmt").alias("n_ctmt"),
+        F.size(F.collect_set("ctmt")).cast("long").alias("n_ctmt"),
         sorted_text_list(F.col("conj")).alias("conj"),
         F.min_by(
             "cod_municipio_base",

@@ -34,11 +34,10 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_hops: int = 100_000) -
     The adjacency keeps one hash partitioning for all hops, only the frontier moves; a new
     frontier needs comparing with the last two levels only, because edges never skip a level.
     """
-    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     neighbours = materialise(
         adjacency(edges.where(F.col("src") != F.col("dst")), "edge_id"), "adjacency"
     )
-    neighbours = neighbours.repartition(partitions, "a").persist(StorageLevel.MEMORY_AND_DISK)
+    neighbours = neighbours.repartition("a").persist(StorageLevel.MEMORY_AND_DISK)
     start = seeds.groupBy("node").agg(F.min(F.struct("ord", "source")).alias("_s")).select(
         "node", "_s.source", "_s.ord", F.lit(0).alias("hops"),
         F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"),
