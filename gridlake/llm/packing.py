@@ -16,8 +16,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,50 +29,76 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.llm.common import Remembered, task_number
+from gridlake.llm.common import REMEMBERED, task_number
 from gridlake.session import materialise
 
 CAPACITY = 4096
 END = 1
+#: Characters of text whose new chunks are encoded together.
+PART = 4_000_000
+MARKS = ".,;:!?"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
-def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
-    """The combination of available lengths with the least slack: length -> how many."""
-    lengths, everything = sorted(x for x, n in counts.items() if n), (1 << (capacity + 1)) - 1
-    reach = [1]
-    for length in lengths:
-        r, left, step = reach[-1], min(counts[length], capacity // length), 1
-        while left and r != everything:
-            n = min(step, left)
-            r |= (r << (n * length)) & everything
-            left, step = left - n, step * 2
-        reach.append(r)
-    best, out = reach[-1].bit_length() - 1, {}
-    for i in range(len(lengths) - 1, -1, -1):
-        if not best:
-            break
-        length = lengths[i]
-        n = min(counts[length], best // length)
-        while n and not (reach[i] >> (best - n * length)) & 1:
-            n -= 1
-        if n:
-            out[length] = n
-            best -= n * length
-    return out
+class Lengths:
+    """The available lengths and how many of each; finds the fullest feasible combination.
+
+    ``reach[i]`` is the set of sums (bits of an integer) of the ``i`` smallest lengths. It is kept between
+    rounds up to the smallest length whose usable number has changed, and ends where all sums are reached.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity, self.everything = capacity, (1 << (capacity + 1)) - 1
+        self.lengths = sorted(x for x, n in counts.items() if n)
+        self.counts = [counts[x] for x in self.lengths]
+        self.reach = [1]
+
+    def usable(self, i: int) -> int:
+        return min(self.counts[i], self.capacity // self.lengths[i])
+
+    def below(self, i: int) -> int:
+        return self.reach[i] if i < len(self.reach) else self.everything
+
+    def fullest(self) -> list[tuple[int, int]]:
+        """(index, how many) of the combination with the least slack, larger lengths preferred."""
+        while len(self.reach) <= len(self.lengths) and self.reach[-1] != self.everything:
+            i, r, step = len(self.reach) - 1, self.reach[-1], 1
+            length, left = self.lengths[i], self.usable(i)
+            while left:
+                n = min(step, left)
+                r |= (r << (n * length)) & self.everything
+                left, step = left - n, step * 2
+            self.reach.append(r)
+        best, out, i = self.below(len(self.lengths)).bit_length() - 1, [], len(self.lengths)
+        while best:
+            i = min(i, bisect_right(self.lengths, best)) - 1
+            n = min(self.counts[i], best // self.lengths[i])
+            while n and not (self.below(i) >> (best - n * self.lengths[i])) & 1:
+                n -= 1
+            if n:
+                out.append((i, n))
+                best -= n * self.lengths[i]
+        return out
+
+    def take(self, pattern: list[tuple[int, int]], times: int) -> None:
+        # indices fall, so deletions do not move what comes later
+        for i, n in pattern:
+            before = self.usable(i)
+            self.counts[i] -= n * times
+            if self.usable(i) != before:
+                del self.reach[i + 1 :]
+            if not self.counts[i]:
+                del self.lengths[i], self.counts[i]
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> Iterator[tuple[dict[int, int], int]]:
     """Combinations and how many bins each fills; every round uses up at least one length."""
-    left = {x: n for x, n in counts.items() if n}
-    while left:
-        pattern = fullest(left, capacity)
-        times = min(left[x] // n for x, n in pattern.items())
-        for x, n in pattern.items():
-            left[x] -= n * times
-            if not left[x]:
-                del left[x]
-        yield pattern, times
+    left = Lengths(counts, capacity)
+    while left.lengths:
+        pattern = left.fullest()
+        times = min(left.counts[i] // n for i, n in pattern)
+        yield {left.lengths[i]: n for i, n in pattern}, times
+        left.take(pattern, times)
 
 
 def place_table(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
@@ -87,25 +115,67 @@ def place_table(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFram
     return table.sort_values(["length", "rank"], ignore_index=True)
 
 
-def _encoder(tokenizer_path: str):
+class Encoder:
     """Whole-text ids of a tokenizer that never joins characters across white space.
 
-    Chunks between white space are encoded once and remembered; a text that could hold one of the
-    tokenizer's special tokens, or a control character that only Python takes for white space, is
-    encoded as it is.
+    Chunks between white space are remembered; those of a batch that are new are encoded together. A
+    run of letters with one mark behind it is put together from the ids of both, so the tokenizer
+    sees few distinct strings. A text that could hold one of its special tokens, or a control character
+    that only Python takes for white space, is encoded as it is.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    specials = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    memo = Remembered(lambda chunk: tuple(tokenizer.encode(chunk, add_special_tokens=False).ids))
-
-    def encode(text: str) -> np.ndarray:
-        if ODD_SPACE.search(text) or any(x in text for x in specials):
-            return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return np.fromiter(chain.from_iterable(map(memo.__getitem__, text.split())), dtype=np.uint32)
 
-    return encode
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lower = self.tokenizer.encode("Aa", add_special_tokens=False).ids == self.tokenizer.encode("aa", add_special_tokens=False).ids
+        self.parts = self.tokenizer.encode("a.", add_special_tokens=False).ids == [
+            x for t in ("a", ".") for x in self.tokenizer.encode(t, add_special_tokens=False).ids]
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def whole(self, text: str) -> bool:
+        return ODD_SPACE.search(text) is not None or any(x in text for x in self.specials)
+
+    def _split(self, chunk: str) -> tuple[str, str]:
+        """Letters (lower case if the tokenizer has it so) and a final mark, or the chunk as it is."""
+        stem, mark = (chunk[:-1], chunk[-1]) if self.parts and chunk[-1] in MARKS else (chunk, "")
+        if stem.isascii() and stem.isalpha():
+            return (stem.lower() if self.lower else stem), mark
+        return (stem, mark) if stem.isalpha() else (chunk, "")
+
+    def learn(self, texts: list[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = {c for t in texts for c in t.split()}.difference(self.known)
+        split = {c: self._split(c) for c in new}
+        wanted = sorted({x for pair in split.values() for x in pair if x}.difference(self.known))
+        for start in range(0, len(wanted), 4096):
+            part = wanted[start : start + 4096]
+            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[chunk] = tuple(found.ids)
+        for chunk, (stem, mark) in split.items():
+            if mark or stem != chunk:
+                self.known[chunk] = self.known[stem] + (self.known[mark] if mark else ())
+
+    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; null is empty. Texts are taken in parts of bounded size."""
+        start = 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size < PART):
+                size += len(texts[end] or "")
+                end += 1
+            part = [t if isinstance(t, str) else "" for t in texts[start:end]]
+            odd = [self.whole(t) for t in part]
+            self.learn([t for t, x in zip(part, odd, strict=True) if not x])
+            for text, alone in zip(part, odd, strict=True):
+                if alone:
+                    yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+                else:
+                    yield np.fromiter(chain.from_iterable(map(self.known.__getitem__, text.split())), dtype=np.uint32)
+            start = end
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -115,11 +185,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(batches):
-        encode, seen, task = _encoder(tokenizer_path), np.zeros(capacity + 1, np.int64), task_number()
+        encode, seen, task = Encoder(tokenizer_path), np.zeros(capacity + 1, np.int64), task_number()
         for batch in batches:
             rows = []
-            for k, t in zip(batch[key], batch[text], strict=True):
-                ids = np.append(encode(t) if isinstance(t, str) else np.empty(0, np.uint32), np.uint32(end)).astype("<u4")
+            for k, found in zip(batch[key], encode(batch[text].tolist()), strict=True):
+                ids = np.append(found, np.uint32(end)).astype("<u4")
                 for i, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((k, i, start, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)], *([part.astype(np.int32)] if with_ids else [])))
