@@ -39,6 +39,9 @@ SHARE = 0.25
 LANES = 62
 #: Distinct words a task counts before it hands them on.
 COUNTED = 200_000
+#: Characters of text whose new chunks are looked up together, and chunks remembered before starting afresh.
+PART = 4_000_000
+KEPT = 400_000
 UNKNOWN = "und"
 
 
@@ -83,26 +86,33 @@ class LanguageFilter:
         return tuple(out)
 
 
+def letter_runs(chunk: str) -> list[str]:
+    return [chunk] if chunk.isalpha() else LETTERS.findall(chunk)
+
+
 def _gram_counts(batches):
     """Occurrences of every n-gram per language in the words of a task, handed on in bounded parts."""
-    words: defaultdict[str, Counter] = defaultdict(Counter)
+    chunks: defaultdict[str, Counter] = defaultdict(Counter)
 
     def flush():
-        out: Counter = Counter()
-        hashed = Remembered(gram_hash)
-        for language, counted in words.items():
-            for word, n in counted.items():
+        for language, counted in chunks.items():
+            words: Counter = Counter()
+            for chunk, n in counted.items():
+                for word in letter_runs(chunk):
+                    words[word] += n
+            out: defaultdict[str, int] = defaultdict(int)
+            for word, n in words.items():
                 for gram in grams(word):
-                    out[hashed[gram], language] += n
-        words.clear()
-        if out:
-            keys = np.fromiter((k[0] for k in out), np.uint64, len(out)).view(np.int64)
-            yield pd.DataFrame({"gram": keys, "lang": [k[1] for k in out], "n": list(out.values())})
+                    out[gram] += n
+            if out:
+                keys = np.fromiter(map(gram_hash, out), np.uint64, len(out)).view(np.int64)
+                yield pd.DataFrame({"gram": keys, "lang": language, "n": list(out.values())})
+        chunks.clear()
 
     for batch in batches:
         for language, text in zip(batch["lang"], batch["text"], strict=True):
-            words[language].update(LETTERS.findall(text.lower()))
-            if sum(map(len, words.values())) >= COUNTED:
+            chunks[language].update(text.lower().split())
+            if sum(map(len, chunks.values())) >= COUNTED:
                 yield from flush()
     yield from flush()
 
@@ -134,20 +144,11 @@ def learn(rows: DataFrame, slots: int = SLOTS, share: float = SHARE) -> Language
     return LanguageFilter(languages, masks)
 
 
-class _Rows(dict):
-    """word -> row number, made on first sight."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word):
-        row = self[word] = self.make(word)
-        return row
-
-
 class _Scorer:
-    """Per-word hit counts, remembered as rows of one matrix; bounded between texts."""
+    """n-gram hits per language of the chunks between white space, remembered as rows of one matrix.
+
+    New chunks of a bounded part of a batch are looked up together; row 0 is a chunk without letters.
+    """
 
     def __init__(self, model: LanguageFilter):
         self.model, self.false = model, model.false_rate
@@ -165,31 +166,64 @@ class _Scorer:
         return self.masks[joint]
 
     def reset(self):
-        self.rows = _Rows(self._new_row)
-        self.hits = np.zeros((1024, len(self.model.languages) + 1), np.int32)
-
-    def _new_row(self, word: str) -> int:
-        found = len(self.rows)
-        if found == len(self.hits):
-            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
-        parts = grams(word)
-        at = list(map(self.grams.__getitem__, parts))
-        self.hits[found, :-1] = self.vectors[at].sum(axis=0)
-        self.hits[found, -1] = len(parts)
-        return found
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if isinstance(text, str) else []
-        if not words or not self.model.languages:
-            return UNKNOWN, 0.0
-        if len(self.rows) > 300_000:
-            self.reset()
-        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        self.rows: dict[str, int] = {}
+        self.hits = np.zeros((1, len(self.model.languages) + 1), np.int32)
+
+    def _add(self, words: list[str]) -> None:
+        """Rows of new words: the sum of their n-grams' rows, and how many n-grams they have."""
+        flat, sizes = [], []
+        for word in words:
+            parts = grams(word)
+            flat.extend(map(self.grams.__getitem__, parts))
+            sizes.append(len(parts))
+        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        hits = np.add.reduceat(self.vectors[flat], at, axis=0)
+        for i, word in enumerate(words):
+            self.rows[word] = len(self.hits) + i
+        self.hits = np.vstack([self.hits, np.column_stack([hits, np.array(sizes, np.int32)])])
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        new = {c: letter_runs(c) for c in set().union(*texts).difference(self.rows)}
+        if words := sorted({w for runs in new.values() for w in runs}.difference(self.rows)):
+            self._add(words)
+        joint = []
+        for chunk, runs in new.items():
+            if not runs:
+                self.rows[chunk] = 0
+            elif len(runs) == 1:
+                self.rows[chunk] = self.rows[runs[0]]
+            else:
+                joint.append(self.hits[[self.rows[w] for w in runs]].sum(axis=0))
+                self.rows[chunk] = len(self.hits) + len(joint) - 1
+        if joint:
+            self.hits = np.vstack([self.hits, joint])
+
+    def _decide(self, chunks: list[str]) -> tuple[str, float]:
+        at = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
         *hits, n = self.hits[at].sum(axis=0, dtype=np.int64)
+        if not n:
+            return UNKNOWN, 0.0
         corrected = (np.array(hits) - n * self.false) / (1 - self.false)
         best = int(corrected.argmax())
         return self.model.languages[best], float(min(1.0, max(0.0, corrected[best] / n)))
 
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out, start = [], 0
+        while start < len(texts):
+            part, size = [], 0
+            while start < len(texts) and (not part or size < PART):
+                text = texts[start] if isinstance(texts[start], str) else ""
+                part.append(text.lower().split())
+                size, start = size + len(text), start + 1
+            if not self.model.languages:
+                out += [(UNKNOWN, 0.0)] * len(part)
+                continue
+            if len(self.rows) > KEPT:
+                self.reset()
+            self._learn(part)
+            out += map(self._decide, part)
+        return out
+
 
 def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; whole texts, no shuffle."""
@@ -200,7 +234,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
     def over(batches):
         scorer = _Scorer(shared.value)
         for batch in batches:
-            found = [scorer(t) for t in batch[text]]
+            found = scorer(batch[text].tolist())
             batch["lang_pred"] = [x[0] for x in found]
             batch["score"] = [x[1] for x in found]
             yield batch
