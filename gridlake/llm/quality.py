@@ -29,7 +29,7 @@ from gridlake.llm.common import MULTIPLIER, Remembered, crc_fold, unit_hash
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 FEATURES = 1 << 18
 #: Expected number of labelled rows the linear model is fitted on (bounds what reaches the driver).
-SAMPLE = 12_000
+SAMPLE = 5_000
 #: Labelled ids are broadcast up to this many (16 bytes each); beyond it the join is shuffled.
 BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
@@ -87,7 +87,7 @@ class Model:
 def fit_hinge(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, size: int, cost: float = 1.0, epochs: int = 20, seed: int = 7) -> tuple[np.ndarray, float]:
     """L2-regularised hinge loss by dual coordinate descent; the intercept is a constant feature."""
     w, b, alpha, rng = np.zeros(size), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
-    square = np.array([v @ v + 1.0 for v in values])
+    square = np.array([float(v @ v) + 1.0 for v in values])
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
@@ -150,8 +150,8 @@ def fit(train: DataFrame, size: int = FEATURES, sample: int = SAMPLE) -> Model:
 
     picked = train.withColumn("k", unit_hash(F.col("key"), "fit")).where(F.col("k") < sample / (n0 + n1)).select("k", "label", "text").mapInPandas(
         drawn, "k double, label int, ids array<int>").toPandas().sort_values("k", ignore_index=True)
-    rows = [np.asarray(x, np.int64) for x in picked["ids"]]
-    values = [ratio[x] / max(1e-12, np.sqrt(ratio[x] @ ratio[x])) for x in rows]
+    rows = [np.asarray(x, np.int32) for x in picked["ids"]]
+    values = [(ratio[x] / max(1e-12, np.sqrt(ratio[x] @ ratio[x]))).astype(np.float32) for x in rows]
     positive = picked["label"].to_numpy() == 1
     hold = np.arange(len(rows)) % 5 == 4
     if len(set(positive[~hold])) < 2:
