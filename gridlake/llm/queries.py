@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlake.llm import html_text, jaccard, language, mixing, near_vectors, packing, quality, sharding, topk
+from gridlake.llm import html_text, jaccard, language, lines, mixing, near_vectors, packing, quality, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -50,5 +54,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_near_vectors, op3_best_fit_packing, op4_exact_topk, op5_language_id, op7_ngram_jaccard, op8_html_extraction, op9_sharding, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_near_vectors, op3_best_fit_packing, op4_exact_topk, op5_language_id, op6_line_dedup, op7_ngram_jaccard, op8_html_extraction, op9_sharding, op10_source_mixing)}
 ORACLES = {"op10_source_mixing": mixing.ORACLE}
