@@ -225,18 +225,19 @@ class _Scorer:
         return out
 
 
-def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; whole texts, no shuffle."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score under ``names``; whole texts, no shuffle."""
+    language, score = names
+    kept = [c for c in docs.columns if c not in names]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(language, T.StringType()), T.StructField(score, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def over(batches):
         scorer = _Scorer(shared.value)
         for batch in batches:
             found = scorer(batch[text].tolist())
-            batch["lang_pred"] = [x[0] for x in found]
-            batch["score"] = [x[1] for x in found]
+            batch[language] = [x[0] for x in found]
+            batch[score] = [x[1] for x in found]
             yield batch
 
     return docs.select(*kept).mapInPandas(over, schema)
@@ -251,3 +252,10 @@ def identify(docs: DataFrame) -> DataFrame:
     model = learn(docs.where(~held_out()))
     scored = predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def recognised(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """``docs`` without those whose language is unknown or fewer than ``least`` of whose n-grams it has."""
+    model = learn(docs.where(~held_out()))
+    found = predict(docs, model, names=("_lang_pred", "_lang_score"))
+    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)

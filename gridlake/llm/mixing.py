@@ -89,8 +89,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def repeat_copies(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves, one row per copy, with the columns of ``docs``."""
-    mixed = pareto_mix(docs, word_count())
-    return mixed.where(F.col("copies") > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = docs.select("doc_id", "source", word_count().alias("_words"), F.struct(*docs.columns).alias("_row"))
+    mixed = pareto_mix(rows, F.col("_words"))
+    return mixed.where(F.col("copies") > 0).select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")
 
 
 ORACLE = r"""
