@@ -1,8 +1,9 @@
 """N-gram Jaccard join with signature trees (operator 7).
 
 A document's set holds the hashes of its distinct word shingles. Equal sets become one class first. Sets whose
-similarity reaches the threshold share one of their ``n - ceil(p n) + 1`` smallest hashes, so every such hash
-is a cell and all links lie inside cells (this is exact); cells with the same members are kept once.
+similarity reaches the threshold share one of their first ``n - ceil(p n) + 1`` tokens in any common order (by hash,
+tokens that many sets hold last), so every such token is a cell and all links lie inside cells (this is
+exact); cells with the same members are kept once.
 
 In a cell (hot ones are split into blocks that meet in pairs) the sets form a signature tree: leaves are
 sets, nodes hold the OR of their bitmaps, the range of their sizes and the greatest number of tokens
@@ -30,8 +31,12 @@ from gridlake.llm.common import map_runs, mix, shingle_set, word_memo
 from gridlake.operators.components import connected_components
 from gridlake.session import materialise
 
-BITS = 1024
+LEAST_BITS = 1024
 FAN = 8
+#: Words of bitmap looked at together in a traversal.
+AT_ONCE = 1 << 22
+#: Frequent tokens: held by more than ``HOT`` prefixes and by enough that at most ``FREQUENT`` are collected and broadcast.
+HOT, FREQUENT = 24, 200_000
 #: Sets of one run; a cell with more is split.
 BLOCK = 512
 
@@ -46,22 +51,33 @@ def set_digest(tokens: np.ndarray) -> tuple[int, int]:
         return int(tokens.sum(dtype=np.uint64).view(np.int64)), int(mix(tokens + np.uint64(0xA5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
-def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``id, n, d1, d2, prefix`` per row of ``id, text``."""
+def prefix_of(tokens: np.ndarray, percent: int, frequent: np.ndarray | None) -> np.ndarray:
+    """The first tokens of a set in the common order: by hash, the ``frequent`` ones (sorted) last."""
+    n = prefix_length(len(tokens), percent) if len(tokens) else 0
+    if frequent is not None and len(frequent) and n:
+        common = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+        rare = tokens[~common]
+        return rare[:n] if len(rare) >= n else np.concatenate([rare, tokens[common][: n - len(rare)]])
+    return tokens[:n]
+
+
+def document_sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarray | None = None) -> DataFrame:
+    """``id, n, d1, d2, head, bits, prefix`` per row of ``id, text``: digests, least token, bitmap and first tokens of its set."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def over(batches):
-        memo = word_memo()
+        memo, frequent = word_memo(), shared.value
         for batch in batches:
             for start in range(0, len(batch), 1000):
                 part, rows = batch.iloc[start : start + 1000], []
                 for key, text in zip(part["id"], part["text"], strict=True):
                     tokens = shingle_set(text if isinstance(text, str) else None, width, memo)
-                    rows.append((key, len(tokens), *set_digest(tokens), tokens[: prefix_length(len(tokens), percent)].view(np.int64) if len(tokens) else tokens.view(np.int64)))
-                out = pd.DataFrame(rows, columns=["id", "n", "d1", "d2", "prefix"])
+                    rows.append((key, len(tokens), *set_digest(tokens), int(tokens[:1].view(np.int64).sum()), bitmap(tokens).tobytes(), prefix_of(tokens, percent, frequent).view(np.int64)))
+                out = pd.DataFrame(rows, columns=["id", "n", "d1", "d2", "head", "bits", "prefix"])
                 out["id"] = part["id"].array
                 yield out
 
-    return docs.mapInPandas(over, "id long, n long, d1 long, d2 long, prefix array<long>")
+    return docs.mapInPandas(over, "id long, n long, d1 long, d2 long, head long, bits binary, prefix array<long>")
 
 
 class _Level:
@@ -96,8 +112,9 @@ def dual_traversal(leaves: _Level, percent: int) -> tuple[np.ndarray, np.ndarray
     child = np.arange(FAN)
     for level in levels[-2::-1]:
         found = []
-        for start in range(0, len(left), 2048):
-            a, b = left[start : start + 2048], right[start : start + 2048]
+        step = max(1, AT_ONCE // (FAN * FAN * level.bits.shape[1]))
+        for start in range(0, len(left), step):
+            a, b = left[start : start + step], right[start : start + step]
             i = np.broadcast_to((a[:, None] * FAN + child)[:, :, None], (len(a), FAN, FAN)).ravel()
             j = np.broadcast_to((b[:, None] * FAN + child)[:, None, :], (len(b), FAN, FAN)).ravel()
             fits = (i < len(level.low)) & (j < len(level.low)) & ((i < j) if level is leaves else (i <= j))
@@ -108,26 +125,49 @@ def dual_traversal(leaves: _Level, percent: int) -> tuple[np.ndarray, np.ndarray
     return (left, right, spare) if len(levels) > 1 else (left[:0], right[:0], spare[:0])
 
 
+def bitmap_size(n: int) -> int:
+    """Bits of a set's bitmap: a power of two, at least four per token."""
+    return max(LEAST_BITS, 1 << (4 * n - 1).bit_length()) if n else LEAST_BITS
+
+
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.uint64)
+    size = bitmap_size(len(tokens))
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def spanning_links(sets: list[np.ndarray], component: np.ndarray, part: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
-    """Index pairs that connect what is similar and not connected yet.
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bits: a token's place is its hash modulo the size."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
 
-    ``part``: the block of each set; ``same``: pairs inside blocks are wanted, else pairs across.
+def leaf_pairs(bits: list[np.ndarray], n: np.ndarray, head: np.ndarray, component: np.ndarray, part: np.ndarray, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs that the trees of these sets do not exclude, with their spare overlap.
+
+    One tree per bitmap size; the sets of the next size that can still be similar join it with folded
+    bitmaps. ``part``: the block of each set; ``same``: pairs inside blocks are wanted, else pairs across.
     """
-    n = np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((n, np.array([s[0] for s in sets], np.uint64)))
-    bits = np.stack([bitmap(sets[i]) for i in order])
-    sizes, own = n[order], component[order]
-    leaves = _Level(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(1, dtype=np.int64), own, own)
-    left, right, spare = dual_traversal(leaves, percent)
-    left, right = order[left], order[right]
-    wanted = (part[left] == part[right]) == same
-    left, right, spare = left[wanted], right[wanted], spare[wanted]
+    words, found = np.array([len(b) for b in bits]), [(np.empty(0, np.int64),) * 3]
+    for size in np.unique(words):
+        own = words == size
+        order = np.flatnonzero(own | ((words == 2 * size) & (percent * n <= 100 * n[own].max())))
+        if len(order) < 2:
+            continue
+        order = order[np.lexsort((n[order], head[order]))]
+        tree, sizes = np.stack([folded(bits[i], size) for i in order]), n[order]
+        leaves = _Level(tree, sizes, sizes, sizes - np.bitwise_count(tree).sum(1, dtype=np.int64), component[order], component[order])
+        left, right, spare = dual_traversal(leaves, percent)
+        left, right = order[left], order[right]
+        wanted = ((part[left] == part[right]) == same) & (own[left] | own[right])
+        found.append((left[wanted], right[wanted], spare[wanted]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def spanning_links(sets: list[np.ndarray], component: np.ndarray, part: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Index pairs that connect what is similar and not connected yet."""
+    n, head = np.array([len(s) for s in sets], np.int64), np.array([s[0] for s in sets], np.uint64)
+    left, right, spare = leaf_pairs([bitmap(s) for s in sets], n, head, component, part, same, percent)
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -148,20 +188,47 @@ def spanning_links(sets: list[np.ndarray], component: np.ndarray, part: np.ndarr
     return out
 
 
-def _links(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Spanning links ``src, dst`` of all cells of ``cell, rep, n, d1, component``."""
+def frequent_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
+    """Tokens that many prefixes hold, at most ``FREQUENT`` of them.
+
+    They come last in the order that picks prefixes, so that shared passages make no cells; which
+    tokens these are changes the work but never the links, as any common order is exact.
+    """
+    held = materialise(
+        document_sets(texts, width, percent).select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "tokens"
+    )
+    total = held.agg(F.sum("c").alias("s")).first()["s"] or 0
+    found = held.where(F.col("c") > max(HOT, total // FREQUENT)).select("token").toPandas()["token"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+def _links(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Spanning links ``src, dst`` of all cells of ``cell, rep, component``.
+
+    The trees of bitmaps run first, without texts; only sets of a surviving pair bring their text to the
+    exact comparison.
+    """
     sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
     sizes = sizes.where(F.col("_a") < F.col("_b")).select("cell", F.ceil(F.col("_n") / block).cast("int").alias("blocks"))
     met = members.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("rep", "n", "d1", "component", "part", (F.col("part") == F.col("other")).alias("same"),
+    met = met.select("rep", "component", "part", (F.col("part") == F.col("other")).alias("same"),
                      F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")).alias("run"))
-    placed = met.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
-    memo = word_memo()
+    met = met.join(classes.select("rep", "n", "d1", "head", "bits"), "rep")
 
-    def link(run):
+    def survive(run):
         if len(run) < 2:
             return None
+        bits = [np.frombuffer(b, np.uint64) for b in run["bits"]]
+        left, right, _ = leaf_pairs(bits, run["n"].to_numpy(), run["head"].to_numpy(), run["component"].to_numpy(), run["part"].to_numpy(), bool(run["same"].iloc[0]), percent)
+        at = np.union1d(left, right)
+        return run.iloc[at][["rep", "n", "d1", "component", "part", "same", "run"]] if len(at) else None
+
+    left = materialise(map_runs(met, "run", survive, "rep long, n long, d1 long, component long, part int, same boolean, run long"), "survivors")
+    placed = left.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    memo = word_memo()
+
+    def link(run):
         sets, kept = [], []
         for i, (text, n, d1) in enumerate(zip(run["text"], run["n"], run["d1"], strict=True)):
             tokens = shingle_set(text, width, memo)
@@ -181,11 +248,13 @@ def _links(members: DataFrame, texts: DataFrame, width: int, percent: int, block
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """``key, n_shingles, component_id`` for every row: components of the links with Jaccard similarity of at least ``percent``/100."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = materialise(document_sets(texts, width, percent), "sets")
+    frequent = frequent_tokens(texts, width, percent)
+    sets = materialise(document_sets(texts, width, percent, frequent), "sets")
     classes = materialise(
-        sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")), "classes"
+        sets.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first(F.struct("head", "bits", "prefix")).alias("s"))
+        .select("n", "d1", "d2", "rep", "s.head", "s.bits", "s.prefix"), "classes"
     )
-    keys = classes.where(F.col("rep").isNotNull()).select("rep", "n", "d1", F.explode("prefix").alias("cell"))
+    keys = classes.where(F.col("rep").isNotNull()).select("rep", F.explode("prefix").alias("cell"))
     # cells with the same members are one: two xors of member hashes and their number tell
     cells = keys.groupBy("cell").agg(
         F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2")
@@ -193,10 +262,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, key:
     members = materialise(keys.join(cells, "cell"), "members")
     largest = members.groupBy("rep").agg(F.max_by("cell", F.struct("c", "cell")).alias("cell"))
     first = members.join(largest, ["rep", "cell"]).withColumn("component", F.col("rep"))
-    links = materialise(_links(first, texts, width, percent, block), "links")
+    links = materialise(_links(first, classes, texts, width, percent, block), "links")
     found = connected_components(links).select(F.col("node").alias("rep"), "component")
     second = members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = materialise(_links(second, texts, width, percent, block), "links")
+    more = materialise(_links(second, classes, texts, width, percent, block), "links")
     components = connected_components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
     placed = classes.select("n", "d1", "d2", "rep").join(components, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     full = sets.where("n > 0").select("id", "n", "d1", "d2").join(placed, ["n", "d1", "d2"]).select("id", "n", "component")
