@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,9 @@ class Remembered(dict):
         return value
 
 
+@cache
 def word_memo() -> Remembered:
-    """64-bit hash of a word given as bytes."""
+    """64-bit hash of a word given as bytes; one memo per Python worker."""
     return Remembered(xxhash.xxh3_64_intdigest)
 
 

@@ -226,9 +226,8 @@ def _links(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
 
     left = materialise(map_runs(met, "run", survive, "rep long, n long, d1 long, component long, part int, same boolean, run long"), "survivors")
     placed = left.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
-    memo = word_memo()
-
     def link(run):
+        memo = word_memo()
         sets, kept = [], []
         for i, (text, n, d1) in enumerate(zip(run["text"], run["n"], run["d1"], strict=True)):
             tokens = shingle_set(text, width, memo)

@@ -19,9 +19,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.llm.common import REMEMBERED, task_number
+from gridlake.llm.common import task_number
 from gridlake.session import materialise
 
 CAPACITY = 4096
 END = 1
 #: Characters of text whose new chunks are encoded together.
 PART = 4_000_000
+#: Chunks a task remembers (about 200 bytes each) before it starts afresh.
+REMEMBERED = 1_000_000
 MARKS = ".,;:!?"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -133,7 +136,7 @@ class Encoder:
         self.lower = self.tokenizer.encode("Aa", add_special_tokens=False).ids == self.tokenizer.encode("aa", add_special_tokens=False).ids
         self.parts = self.tokenizer.encode("a.", add_special_tokens=False).ids == [
             x for t in ("a", ".") for x in self.tokenizer.encode(t, add_special_tokens=False).ids]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bool:
         return ODD_SPACE.search(text) is not None or any(x in text for x in self.specials)
@@ -145,19 +148,19 @@ class Encoder:
             return (stem.lower() if self.lower else stem), mark
         return (stem, mark) if stem.isalpha() else (chunk, "")
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, texts: list[list[str]]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = {c for t in texts for c in t.split()}.difference(self.known)
+        new = set().union(*texts).difference(self.known)
         split = {c: self._split(c) for c in new}
         wanted = sorted({x for pair in split.values() for x in pair if x}.difference(self.known))
         for start in range(0, len(wanted), 4096):
             part = wanted[start : start + 4096]
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = tuple(found.ids)
+                self.known[chunk] = array("I", found.ids).tobytes()
         for chunk, (stem, mark) in split.items():
             if mark or stem != chunk:
-                self.known[chunk] = self.known[stem] + (self.known[mark] if mark else ())
+                self.known[chunk] = self.known[stem] + (self.known[mark] if mark else b"")
 
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; null is empty. Texts are taken in parts of bounded size."""
@@ -169,15 +172,22 @@ class Encoder:
                 end += 1
             part = [t if isinstance(t, str) else "" for t in texts[start:end]]
             odd = [self.whole(t) for t in part]
-            self.learn([t for t, x in zip(part, odd, strict=True) if not x])
-            for text, alone in zip(part, odd, strict=True):
+            chunks = [[] if x else t.split() for t, x in zip(part, odd, strict=True)]
+            self.learn(chunks)
+            for text, own, alone in zip(part, chunks, odd, strict=True):
                 if alone:
                     yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
                 else:
-                    yield np.fromiter(chain.from_iterable(map(self.known.__getitem__, text.split())), dtype=np.uint32)
+                    yield np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.uint32)
             start = end
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One per Python worker: what a task has learned serves the next one."""
+    return Encoder(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """Pieces of all documents: key, piece, start, length, ids_crc32, and the ids themselves unless left out."""
     fields = [docs.schema[key], *[T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("_task", T.LongType()), ("_nth", T.LongType()))]]
@@ -185,7 +195,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(batches):
-        encode, seen, task = Encoder(tokenizer_path), np.zeros(capacity + 1, np.int64), task_number()
+        encode, seen, task = encoder(tokenizer_path), np.zeros(capacity + 1, np.int64), task_number()
         for batch in batches:
             rows = []
             for k, found in zip(batch[key], encode(batch[text].tolist()), strict=True):
