@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,7 @@ def _priority(round_no: int, node):
     return F.struct(F.xxhash64(F.lit(round_no), node).alias("h"), node.alias("n"))
 
 
-def connected_components(
-    edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60
-) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``node, component`` with the smallest node id of the component as label.
 
     ``edges``: src, dst (undirected, repeats and loops allowed); ``nodes``: node, adds isolated ones.
@@ -42,7 +42,7 @@ def connected_components(
     ).distinct()
     current = materialise(both, "edges")
     maps: list[DataFrame] = []
-    for round_no in range(max_rounds):
+    for round_no in count():
         if current.isEmpty():
             break
         both_ways = _both_ways(current)
@@ -65,8 +65,6 @@ def connected_components(
         following = materialise(rewritten, "edges")
         discard(current)
         current = following
-    else:
-        raise RuntimeError("components did not converge")
     if not maps:
         labels = current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     else:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.columns import is_open, is_remote, number, round_to, text_or_empty, text_or_null
@@ -36,6 +36,11 @@ def is_external(node) -> object:
     return F.startswith(node, F.lit(EXTERNAL))
 
 
+def external_name(node: str) -> Column:
+    """The whole name behind the prefix of an external node."""
+    return F.substr(F.col(node), F.lit(len(EXTERNAL) + 1))
+
+
 def candidate_edges(segments: DataFrame, switches: DataFrame) -> DataFrame:
     """Segments and switches as edge candidates, rejects included."""
 
@@ -91,7 +96,7 @@ def build_nodes(edges: DataFrame, positions: DataFrame | None = None) -> DataFra
     )
     nodes = ends.groupBy("node").agg(F.min("_e").alias("_e")).select(
         "node",
-        F.when(is_external(F.col("node")), F.substring("node", len(EXTERNAL) + 1, 1_000)).otherwise(F.col("_e.ctmt")).alias("ctmt"),
+        F.when(is_external(F.col("node")), external_name("node")).otherwise(F.col("_e.ctmt")).alias("ctmt"),
         F.when(is_external(F.col("node")), F.lit("externo")).otherwise(F.lit("pac")).alias("kind"),
     )
     if positions is None:
@@ -260,7 +265,7 @@ def source_table(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """Seeds of supply: feeder sources first (by feeder), then external neighbours. node, source, ord."""
     inner = sources.select("node", F.col("ctmt").alias("source"), F.concat(F.lit("0"), "ctmt").alias("ord"))
     outer = edges.select(F.explode(F.array("src", "dst")).alias("node")).where(is_external(F.col("node"))).distinct()
-    name = F.substring("node", len(EXTERNAL) + 1, 1_000)
+    name = external_name("node")
     return inner.unionByName(outer.select("node", name.alias("source"), F.concat(F.lit("1"), name).alias("ord")))
 
 

@@ -9,6 +9,7 @@ forest. In a radial network that equals the size of the answer.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -25,14 +26,15 @@ def adjacency(edges: DataFrame, *extra: str) -> DataFrame:
     return edges.select(F.explode(pair).alias("_p"), *extra).select("_p.a", "_p.b", *extra)
 
 
-def breadth_first(edges: DataFrame, seeds: DataFrame, max_hops: int = 100_000) -> DataFrame:
+def breadth_first(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Breadth-first forest from all seeds at once.
 
     ``edges``: src, dst, edge_id; ``seeds``: node, source, ord. Result: node, source, ord, hops,
     parent, via. Equal hops go to the smaller ``ord``, then parent, then edge id.
 
     The adjacency keeps one hash partitioning for all hops, only the frontier moves; a new
-    frontier needs comparing with the last two levels only, because edges never skip a level.
+    frontier needs comparing with the last two levels only, because edges never skip a level. It ends
+    when a level is empty and has no other bound.
     """
     neighbours = materialise(
         adjacency(edges.where(F.col("src") != F.col("dst")), "edge_id"), "adjacency"
@@ -58,7 +60,7 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_hops: int = 100_000) -
     written = [materialise(start, "level")]
     level, before = written[0], None
     try:
-        for hop in range(1, max_hops, 2):
+        for hop in count(1, 2):
             # two levels per written table
             first = advance(level, before, hop)
             second = advance(first, level, hop + 1)
@@ -175,7 +177,7 @@ def edge_cuts(edges: DataFrame, forest: DataFrame, ancestors: DataFrame) -> Data
     return tops.join(subtree, "child").select("edge_id", "child", "lost")
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, keys: list[str], max_rounds: int = 100_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
     """Least total weight per (keys, node) by frontier relaxation, with parent and edge.
 
     ``edges``: keys, src, dst, weight; ``seeds``: keys, node. Only improved rows are propagated.
@@ -192,7 +194,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, keys: list[str], max_roun
         "paths",
     )
     frontier = best
-    for _ in range(max_rounds):
+    while True:
         moved = (
             frontier.select(*keys, F.col("node").alias("a"), "length").join(steps, [*keys, "a"])
             .select(*keys, F.col("b").alias("node"), (F.col("length") + F.col("weight")).alias("length"), F.col("a").alias("parent"))
@@ -211,4 +213,3 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, keys: list[str], max_roun
             best.join(better.select(*keys, "node"), [*keys, "node"], "left_anti").unionByName(better), "paths"
         )
         frontier = better
-    raise RuntimeError("paths did not converge")

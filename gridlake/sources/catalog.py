@@ -150,7 +150,9 @@ class LayerCatalog:
     def base_metadata(self) -> DataFrame:
         """Utility, period, extraction date and description of the base: one row."""
         columns = ["DIST", "DAT_INC", "DAT_FNL", "DAT_EXT", "DESCR"]
-        return self.table("BASE", columns).limit(1).select(
+        # of several rows the latest extraction counts, then the latest period and the smallest rest
+        order = [F.col(c).cast("string").desc_nulls_last() for c in ("DAT_EXT", "DAT_FNL", "DAT_INC")] + [F.col(c).cast("string").asc_nulls_last() for c in ("DIST", "DESCR")]
+        return self.table("BASE", columns).orderBy(*order).limit(1).select(
             F.col("DIST").cast("int").alias("DIST"),
             *[F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).alias(c) for c in columns[1:]],
         )

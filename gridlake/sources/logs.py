@@ -73,13 +73,18 @@ def record_hash(seq="seq", ts="ts", kind="tipo", data="dados", previous="hash_an
 
 
 def event_ids(json_text):
-    """Event ids ``E-0000`` anywhere in a nested record."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(json_text, F.lit("")), F.lit(r"\bE-\d{4}\b"), F.lit(0)))
+    """Event ids ``E-`` and four or more digits anywhere in a nested record."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(json_text, F.lit("")), F.lit(r"\bE-\d{4,}\b"), F.lit(0)))
+
+
+def event_number(event_id):
+    """The number of an event id, all of its digits."""
+    return F.regexp_extract(event_id, r"^E-(\d+)$", 1).try_cast("decimal(38,0)")
 
 
 def proposal_ids(json_text):
-    """Proposal ids ``P-0000`` anywhere in a nested record."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(json_text, F.lit("")), F.lit(r"\bP-\d{4}\b"), F.lit(0)))
+    """Proposal ids ``P-`` and four or more digits anywhere in a nested record."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(json_text, F.lit("")), F.lit(r"\bP-\d{4,}\b"), F.lit(0)))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -98,8 +103,8 @@ def append_events(events: DataFrame, path: str, existing: DataFrame | None = Non
 
     start = 0
     if existing is not None:
-        top = existing.agg(F.max(F.substring("id", 3, 10).cast("long"))).first()[0]
-        start = top or 0
+        top = existing.agg(F.max(event_number("id"))).first()[0]
+        start = int(top or 0)
     body = events.drop("id")
     ranked = global_rank(body, [c for c in ("hora", "tipo", "detalhes") if c in body.columns], "_n")
     number = (F.col("_n") + start).cast("string")
@@ -112,7 +117,7 @@ def append_events(events: DataFrame, path: str, existing: DataFrame | None = Non
 
 def events_since(events: DataFrame, position: int) -> DataFrame:
     """Events after the first ``position`` ones, in id order."""
-    return events.where(F.substring("id", 3, 10).cast("long") > position).orderBy("id")
+    return events.where(event_number("id") > position).orderBy(event_number("id"), "id")
 
 
 def log_tail(records: DataFrame, n: int) -> DataFrame:

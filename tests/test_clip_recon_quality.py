@@ -16,73 +16,72 @@ def test_catalog(spark, catalog, base_path, tmp_path):
         catalog.resolve(["NADA"])
     assert catalog.read("SSDMT", ["COD_ID", "NADA"]).columns == ["COD_ID", "geometry"]
     assert catalog.read_in("SSDMT", "CTMT", []).count() == 0
-    assert catalog.read_in("SSDMT", "CTMT", ["RJO003"]).count() == 1
-    keys = spark.createDataFrame([("RJO003",)], "k string")
+    assert catalog.read_in("SSDMT", "CTMT", ["GA1"]).count() == 1
+    keys = spark.createDataFrame([("GA1",)], "k string")
     assert catalog.read_in("SSDMT", "CTMT", keys).count() == 1
     assert catalog.table("PIP", ["COD_ID", "ENE_01"]).count() == 0
     manifest = {r.layer: r for r in export_layers(catalog, str(tmp_path), ["SSDMT", "CTMT"]).collect()}
-    assert (manifest["SSDMT"].rows, manifest["SSDMT"].kinds, manifest["SSDMT"].minx) == (9, "MultiLineString", -43.21)
+    assert (manifest["SSDMT"].rows, manifest["SSDMT"].kinds, manifest["SSDMT"].minx) == (10, "MultiLineString", -39.9999)
     assert LayerCatalog(spark, str(tmp_path)).read("CTMT").count() == 3
 
 
 def test_clip(spark, catalog, ties, tmp_path):
-    bridge = clip.clip_bridge(spark, {"RJO001": ["RJO001"], "grupo": ["RJO001", "RJO002"]})
+    bridge = clip.clip_bridge(spark, {"alone": ["AL1"], "pair": ["AL1", "BE1"]})
     sel = clip.select_layers(catalog, bridge, ties=ties)
     counts = {(r.clip_id, r.layer): r.n for r in clip.clip_counts(sel, bridge).collect()}
-    one = {layer: n for (c, layer), n in counts.items() if c == "RJO001"}
-    expected = {
-        "CTMT": 1, "SUB": 1, "UNTRAT": 2, "SSDMT": 4, "UNSEMT": 4, "UNTRMT": 2, "UNREMT": 0, "UNCRMT": 1, "UCMT_tab": 1, "UGMT_tab": 1, "SSDBT": 2, "UNSEBT": 1,
-        "RAMLIG": 1, "UCBT": 4, "UCBT_tab": 4, "UGBT_tab": 1, "PONNOT": 14, "EQTRMT": 2, "EQSE": 4, "SEGCON": 2, "CRVCRG": 6, "CONJ": 1, "INTERLIGACOES": 3,
-    }
-    assert one == expected
-    # the set equals the union of its parts and the far pole stays out
-    assert counts[("grupo", "SSDMT")] == 8 and counts[("grupo", "INTERLIGACOES")] == 3
-    assert sel["PONNOT"].where("COD_ID in ('PN107', 'PN999')").count() == 0
+    own = {layer: n for (c, layer), n in counts.items() if c == "alone"}
+    direct = {"CTMT": 1, "SUB": 1, "UNTRAT": 1, "SSDMT": 5, "UNSEMT": 3, "UNTRMT": 2, "UNREMT": 0, "UNCRMT": 2, "UCMT_tab": 1, "UGMT_tab": 1, "SSDBT": 1, "UNSEBT": 1, "RAMLIG": 1, "UGBT_tab": 1}
+    assert {k: own[k] for k in direct} == direct
+    # U8 follows its transformer; conductors W1 and W2; curves of both classes; devices of T1, T2 and of three switches
+    assert (own["UCBT_tab"], own["UCBT"], own["SEGCON"], own["CRVCRG"], own["EQTRMT"], own["EQSE"], own["CONJ"], own["INTERLIGACOES"]) == (5, 5, 2, 6, 2, 3, 1, 3)
+    assert counts[("pair", "SSDMT")] == 9 and counts[("pair", "INTERLIGACOES")] == 3
+    assert sel["PONNOT"].where("COD_ID in ('P998', 'P999', 'P22')").count() == 0
     pairs = clip.clip_neighbours(bridge, ties).orderBy("clip_id").collect()
-    assert [(p.clip_id, p.CTMT, p.ties, p.ties_campo) for p in pairs] == [("RJO001", "RJO001", 3, 2), ("grupo", "RJO001", 3, 2)]
+    assert {(p.clip_id, p.CTMT, p.ties, p.ties_campo) for p in pairs} == {("alone", "AL1", 3, 2), ("pair", "AL1", 3, 2)}
     unknown = clip.unknown_feeders(catalog, clip.clip_bridge(spark, {"x": ["NADA"]}))
     assert [r.ctmt for r in unknown.collect()] == ["NADA"]
     clip.write_clips({k: sel[k] for k in ("CTMT", "SSDMT")}, bridge, str(tmp_path / "out"), ties)
     manifest = spark.read.json(str(tmp_path / "out" / "_manifest"))
-    assert {r.clip_id: r.layers.SSDMT for r in manifest.collect()} == {"RJO001": 4, "grupo": 8}
-    merged = clip.union_clips([sel["SSDMT"]])
-    assert merged.count() == 8
+    assert {r.clip_id: r.layers.SSDMT for r in manifest.collect()} == {"alone": 5, "pair": 9}
+    assert clip.union_clips([sel["SSDMT"]]).count() == 9
 
 
 def register_rows():
-    base = {c: "" for c in REGISTER_COLUMNS}
-
-    def row(code, kw, when, **more):
-        return {
-            **base, "NumCNPJDistribuidora": "60444437000146", "SigUF": "RJ", "NomAgente": "U", "CodEmpreendimento": code, "MdaPotenciaInstaladaKW": kw, "CodMunicipioIbge": "3304557",
-            "NomMunicipio": "Rio", "DthAtualizaCadastralEmpreend": when, "SigTipoGeracao": "UFV", "DscFonteGeracao": "Radiação solar", "DscClasseConsumo": "Residencial", "CodClasseConsumo": "1", **more,
-        }
-
+    """Four projects of the utility, three with a generator in the base, and one of another state."""
+    always = {
+        "NumCNPJDistribuidora": "11222333000144", "SigUF": "RJ", "NomAgente": "U", "CodMunicipioIbge": "51", "NomMunicipio": "Clara", "SigTipoGeracao": "UFV",
+        "DscFonteGeracao": "Radiação solar", "DscClasseConsumo": "Residencial", "CodClasseConsumo": "1",
+    }
+    changing = (
+        ("GD.RJ.X1", "6", "2021-03-04", {}), ("GD.RJ.X3", "400", "2022-01-02", {}), ("GD.RJ.X2", "9", "2023-05-06", {}),
+        ("GD.RJ.X4", "2.5", "2023-07-08", {"CodMunicipioIbge": "52", "NomMunicipio": "Nova"}), ("GD.SP.X5", "70", "2023-09-09", {"SigUF": "SP"}),
+    )
     return [
-        row("GD.RJ.UGBT001", "5.0", "2022-03-01"), row("GD.RJ.UGMT001", "500.0", "2022-07-01"), row("GD.RJ.UGBT002", "10.0", "2024-01-05"),
-        row("GD.RJ.X", "7.5", "2024-02-02", NomMunicipio="Nova", CodMunicipioIbge="3303500"), row("GD.SP.1", "9", "2024-02-02", SigUF="SP"),
+        dict.fromkeys(REGISTER_COLUMNS, "") | always | {"CodEmpreendimento": code, "MdaPotenciaInstaladaKW": kw, "DthAtualizaCadastralEmpreend": day} | other
+        for code, kw, day, other in changing
     ]
 
 
 def test_reconciliation(spark, catalog):
     rows = register_rows()
     raw = spark.createDataFrame([tuple(r[c] for c in REGISTER_COLUMNS) for r in rows], ", ".join(f"{c} string" for c in REGISTER_COLUMNS))
-    reg = normalise_register(raw, tax_id="60444437000146", state="RJ", agent="U")
+    reg = normalise_register(raw, tax_id="11222333000144", state="RJ", agent="U")
     base = asset_generators(catalog)
     compared = recon.reconcile(reg, base)
     e = recon.evidence(reg, base, compared).collect()[0]
-    assert (e.n_mmgd, e.kw_mmgd, e.n_mmgd_com_match, e.n_mmgd_sem_match, e.kw_mmgd_sem_match) == (4, 522.5, 3, 1, 7.5)
+    assert (e.n_mmgd, e.kw_mmgd, e.n_mmgd_com_match, e.n_mmgd_sem_match, e.kw_mmgd_sem_match) == (4, 417.5, 3, 1, 2.5)
     assert (e.n_base, e.n_base_com_match, e.n_base_sem_codigo, e.n_ceg_ambiguos) == (3, 3, 0, 0)
     feeders = feeder_inventory(catalog).join(recon.feeder_region_cascade(catalog), "COD_ID")
-    rows = {r.COD_ID: r for r in recon.by_feeder(compared, feeders).collect()}
-    assert (rows["RJO001"].potencia_kw_mmgd, rows["RJO002"].potencia_kw_mmgd, rows["RJO003"].potencia_kw_mmgd) == (505.0, 10.0, 0.0)
-    assert rows["RJO001"].fonte_predominante == "UFV — Radiação solar" and rows["RJO001"].classe_predominante == "Residencial (1)"
-    assert rows["RJO001"].periodo_primeira_data == "2022-03-01" and rows["RJO001"].CONJ_NOME == "CONJUNTO SINTÉTICO"
-    assert {r.ano: r.empreendimentos for r in recon.yearly_evolution(reg).collect()} == {2022: 2, 2024: 2}
+    found = {r.COD_ID: r for r in recon.by_feeder(compared, feeders).collect()}
+    assert {f: r.potencia_kw_mmgd for f, r in found.items()} == {"AL1": 406.0, "BE1": 9.0, "GA1": 0.0}
+    one = found["AL1"]
+    assert (one.fonte_predominante, one.classe_predominante) == ("UFV — Radiação solar", "Residencial (1)")
+    assert (one.periodo_primeira_data, one.CONJ_NOME) == ("2021-03-04", "VILA CLARA")
+    assert {r.ano: r.empreendimentos for r in recon.yearly_evolution(reg).collect()} == {2021: 1, 2022: 1, 2023: 2}
     region = recon.by_region(recon.by_feeder(compared, feeders)).collect()[0]
-    assert (region.alimentadores, region.potencia_kw_mmgd, region.empreendimentos_mmgd) == (3, 515.0, 3)
+    assert (region.alimentadores, region.potencia_kw_mmgd, region.empreendimentos_mmgd) == (3, 415.0, 3)
     town = recon.unmatched_by_town(compared, feeders.withColumn("MUN", F.col("MUN").cast("long"))).collect()[0]
-    assert (town.cod_municipio_ibge, town.potencia_kw_sem_chave, town.alimentadores_base) == (3303500, 7.5, 1)
+    assert (town.cod_municipio_ibge, town.potencia_kw_sem_chave, town.alimentadores_base) == (52, 2.5, 1)
     assert recon.top_divergences(compared).count() == 0
     with pytest.raises(KeyError):
         normalise_register(raw.drop("SigUF"), tax_id="", state="", agent="")

@@ -110,6 +110,27 @@ def test_numbers_in_text(spark):
     assert {4036.0, 4.036, 45.98, 1234.5, 0.93, -3.0} <= set(r.n) and (r.a, r.b, r.c) == (True, True, False)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("12", [12.0]), ("+7", [7.0]), ("-1.250", [-1250.0, -1.25]), ("1.234.567", [1234567.0]), ("1.234.567,5", [1234567.5]), ("0,50", [0.5]), ("3.14", [3.14]),
+        ("1234.567", [1234.567]), ("12.", [12.0]), ("kV13", []), ("13kV", []), ("1,2,3", [1.2]), ("", []), (None, []), ("5 e 6", [5.0, 6.0]),
+    ],
+)
+def test_number_readings(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(results.numbers_in(F.col("t")).alias("n")).collect()[0].n == want
+
+
+def test_ids_of_any_length(spark):
+    from gridlake.sources.logs import event_ids, events_since, proposal_ids
+
+    one = spark.range(1).select(event_ids(F.lit("E-9999 E-10000 E-123")).alias("e"), proposal_ids(F.lit("[P-123456]")).alias("p")).collect()[0]
+    assert (one.e, one.p) == (["E-9999", "E-10000"], ["P-123456"])
+    numbered = spark.createDataFrame([(f"E-{n}",) for n in (9999, 10000, 12345678901, 12345678902)], "id string")
+    assert [r.id for r in events_since(numbered, 9999).collect()] == ["E-10000", "E-12345678901", "E-12345678902"]
+
+
 def test_phase_balance_against_plain_loop(spark):
     rng = random.Random(5)
     rows = [(f"T{rng.randrange(4)}", f"p{i}", f"c{i:03d}", float(rng.randint(1, 9)), rng.choice(["AN", "BN", "CN", "ABC"]), sorted(rng.sample([1, 2, 3], rng.randint(1, 3)))) for i in range(120)]
@@ -138,18 +159,18 @@ def test_calendar(spark):
 def test_load_table(spark, catalog):
     profiles = load.with_flat_curves(load.curve_profiles(catalog.read("CRVCRG")), spark.createDataFrame([("NOVA",)], "c string"))
     p = {(r.COD_ID, r.TIP_DIA): r for r in profiles.collect()}
-    assert abs(sum(p[("RES-Tipo3", d)].prop for d in ("DU", "SA", "DO")) - 1) < 1e-12 and p[("NOVA", "SA")].fc == 1.0
-    assert len(p[("RES-Tipo3", "DU")].mult) == 24 and max(p[("RES-Tipo3", "DU")].mult) == 1.0
+    assert abs(sum(p[("RES", d)].prop for d in ("DU", "SA", "DO")) - 1) < 1e-12 and p[("NOVA", "SA")].fc == 1.0
+    assert len(p[("RES", "DU")].mult) == 24 and max(p[("RES", "DU")].mult) == 1.0
     days = load.day_counts(spark.createDataFrame([(2025,)], "ano int"))
     factors = load.peak_factors(profiles, days, "DU", [2025]).where("mes = 1")
     f = {r.COD_ID: r.fator for r in factors.collect()}
     assert abs(f["NOVA"] - (22 / 31) / (22 * 24)) < 1e-15
-    transformers = spark.createDataFrame([("TR001", 0.22, 0.127), ("TR002", 0.22, 0.127)], "COD_ID string, kv_line double, kv_phase double")
-    table = {r.pac: r for r in load.load_table(catalog.read("UCBT_tab"), factors, 1, transformers, low_voltage=True).collect()}
-    one = table["TR001_BT_1"]
-    assert (one.fases, one.conexao, one.kv, one.kw_nominal) == (1, "Wye", 0.127, 0.216)
-    assert abs(one.kw_curva - int(132.0 * f["RES-Tipo3"] * 1e6) / 1e6) < 1e-12
-    assert table["TR002_BT_5"].fases == 3 and table["TR002_BT_5"].conexao == "Delta" and table["TR004_BT_6"].kv == pytest.approx(0.23 / 3**0.5)
+    transformers = spark.createDataFrame([("T1", 0.22, 0.127), ("T3", 0.22, 0.127)], "COD_ID string, kv_line double, kv_phase double")
+    table = {(r.pac, r.kw_nominal): r for r in load.load_table(catalog.read("UCBT_tab"), factors, 1, transformers, low_voltage=True).collect()}
+    one = table[("L1a", 0.2)]
+    assert (one.fases, one.conexao, one.kv, one.kw_nominal) == (1, "Wye", 0.127, 0.2)
+    assert abs(one.kw_curva - int(100.0 * f["RES"] * 1e6) / 1e6) < 1e-12
+    assert table[("L3a", 1.5)].fases == 3 and table[("L3a", 1.5)].conexao == "Delta" and table[("L4", 0.2)].kv == pytest.approx(0.23 / 3**0.5)
 
 
 def test_sampling(spark):
