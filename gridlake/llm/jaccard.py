@@ -35,8 +35,8 @@ LEAST_BITS = 1024
 FAN = 8
 #: Words of bitmap looked at together in a traversal.
 AT_ONCE = 1 << 22
-#: Frequent tokens: held by more than ``HOT`` prefixes and by enough that at most ``FREQUENT`` are collected and broadcast.
-HOT, FREQUENT = 24, 200_000
+#: Frequent tokens: held by more than ``HOT`` prefixes; at most ``FREQUENT`` (8 bytes each) are collected and broadcast.
+HOT, FREQUENT = 8, 1_000_000
 #: Sets of one run; a cell with more is split.
 BLOCK = 512
 
@@ -189,7 +189,7 @@ def spanning_links(sets: list[np.ndarray], component: np.ndarray, part: np.ndarr
 
 
 def frequent_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
-    """Tokens that many prefixes hold, at most ``FREQUENT`` of them.
+    """The tokens that most prefixes hold: all with more than ``HOT``, or else the ``FREQUENT`` most frequent.
 
     They come last in the order that picks prefixes, so that shared passages make no cells; which
     tokens these are changes the work but never the links, as any common order is exact.
@@ -197,8 +197,15 @@ def frequent_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
     held = materialise(
         document_sets(texts, width, percent).select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "tokens"
     )
-    total = held.agg(F.sum("c").alias("s")).first()["s"] or 0
-    found = held.where(F.col("c") > max(HOT, total // FREQUENT)).select("token").toPandas()["token"]
+    # the smallest count at which the list still fits; one row per distinct count reaches the driver
+    rows = sorted(((r["c"], r["n"]) for r in held.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, listed = rows[0][0] if rows else HOT, 0
+    for c, n in rows:
+        listed += n
+        if c <= HOT or listed > FREQUENT:
+            break
+        least = c - 1
+    found = held.where(F.col("c") > least).select("token").toPandas()["token"]
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
