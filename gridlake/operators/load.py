@@ -189,7 +189,8 @@ def load_table(
     curve = F.when(text_or_empty(F.col("TIP_CC")) != "", text_or_empty(F.col("TIP_CC"))).otherwise(F.lit("flat"))
     rows = rows.withColumns({"fas_con": phases, "curva": curve, "kwh": F.coalesce(number(F.col(f"ENE_{month:02d}")), F.lit(0.0))})
     rows = rows.join(factors.select(F.col("COD_ID").alias("curva"), "fator"), "curva", "left")
-    flat = factors.where(F.col("COD_ID") == "").select(F.lit(1).alias("_one"), F.col("fator").alias("_flat"))
+    # one row whatever the factors hold
+    flat = factors.where(F.col("COD_ID") == "").agg(F.max("fator").alias("_flat")).select(F.lit(1).alias("_one"), "_flat")
     rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(flat), "_one", "left")
     three = F.col("fas_con").isin("ABC", "ABCN")
     wye = ~F.col("fas_con").isin(*DELTA_CODES)
@@ -225,7 +226,7 @@ def rebalance_phases(
     ``allowed`` is an array of phase indexes at the load's node; loads with fewer than two choices,
     no transformer or no wye phase keep theirs. The rule depends on order inside a transformer, so
     rows are sorted in the JVM (spilling if needed) and streamed through three running sums: no
-    group is ever held in memory.
+    group is ever held in memory. Rows that the rule never touches stay where they are.
     """
     index = phase_index(F.col(phase))
     choices = F.array_sort(F.array_intersect(F.coalesce(allowed, F.array().cast("array<int>")), F.array(*[F.lit(i) for i in (1, 2, 3)])))
@@ -233,9 +234,8 @@ def rebalance_phases(
     if "conexao" in loads.columns:
         movable = movable & (F.col("conexao") == "Wye") & (F.col("fases") == 1)
     mask = F.aggregate(choices, F.lit(0), lambda a, v: a + F.pow(F.lit(2.0), v - 1).cast("int"))
-    prepared = loads.withColumns(
-        {"_mask": F.when(movable, mask).otherwise(0), "_kw": F.greatest(F.coalesce(F.col(kw), F.lit(0.0)), F.lit(0.0)), "_now": F.coalesce(index, F.lit(0))}
-    )
+    movable = F.coalesce(movable, F.lit(False))
+    prepared = loads.where(movable).withColumns({"_mask": mask, "_kw": F.greatest(F.coalesce(F.col(kw), F.lit(0.0)), F.lit(0.0))})
     ordered = prepared.repartition(group).sortWithinPartitions(group, *order)
     schema = loads.withColumn("_new", F.lit(0)).schema
 
@@ -251,9 +251,9 @@ def rebalance_phases(
                     best = min((p for p in range(3) if masks[i] >> p & 1), key=lambda p: (sums[p], p))
                     sums[best] += power[i]
                     chosen[i] = best + 1
-            yield pdf.drop(columns=["_mask", "_kw", "_now"]).assign(_new=chosen)
+            yield pdf.drop(columns=["_mask", "_kw"]).assign(_new=chosen)
 
-    moved = ordered.mapInPandas(stream, schema)
+    moved = ordered.mapInPandas(stream, schema).unionByName(loads.where(~movable).withColumn("_new", F.lit(0)))
     code = F.element_at(F.array(*[F.lit(PHASE_CODE[i]) for i in (1, 2, 3)]), F.nullif(F.col("_new"), F.lit(0)))
     keep = (F.col("_new") == 0) | (F.col("_new") == phase_index(F.col(phase)))
     return moved.select(

@@ -94,7 +94,7 @@ def stratified_sample(
     draw = order if order is not None else F.xxhash64(F.lit(seed), F.col(key))
     drawn = base.withColumn("_rand", draw)
     ranked = rank_in_group(drawn, list(strata), ["_rand", key], "_r")
-    picked = ranked.join(F.broadcast(strata_allocation(base, n, strata).select(*strata, "alocados")), list(strata)).where(
+    picked = ranked.join(strata_allocation(base, n, strata).select(*strata, "alocados"), list(strata)).where(
         F.col("_r") <= F.col("alocados")
     )
     # n rows, as asked for by the caller

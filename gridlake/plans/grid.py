@@ -82,6 +82,11 @@ def once(spark: SparkSession, sf: str, name: str, build):
     return _STATE[key]
 
 
+def forget() -> None:
+    """Drop the shared intermediates, e.g. after the inputs or the scratch folder have changed."""
+    _STATE.clear()
+
+
 def layers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     tables = {n: table(spark, sf, n) for n in ("customer", "orders", "lineitem", "part", "nation")}
 
