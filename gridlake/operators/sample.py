@@ -89,9 +89,9 @@ def stratified_sample(
 ) -> DataFrame:
     """Sample of ``n`` rows, allocated over strata, seeded order inside each.
 
-    The order is ``xxhash64(seed, key)``: the same seed gives the same sample on any cluster.
+    The order is ``sha2("seed:key")``: the same seed gives the same sample on any cluster and engine.
     """
-    draw = order if order is not None else F.xxhash64(F.lit(seed), F.col(key))
+    draw = order if order is not None else F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
     drawn = base.withColumn("_rand", draw)
     ranked = rank_in_group(drawn, list(strata), ["_rand", key], "_r")
     picked = ranked.join(strata_allocation(base, n, strata).select(*strata, "alocados"), list(strata)).where(

@@ -256,10 +256,19 @@ def strata_allocation(spark: SparkSession, sf: str) -> DataFrame:
     return sample.strata_allocation(universe(spark, sf), 30)
 
 
-@query("stratified_sample")
+@query(
+    "stratified_sample",
+    f"""WITH {_CLASS}, s AS (SELECT regiao, porte, count(*) AS t FROM c GROUP BY 1, 2), q AS (SELECT *, sum(t) OVER () AS tot FROM s),
+      z AS (SELECT *, CAST(floor(30 * t / tot) AS BIGINT) AS w, CAST(30 * t AS BIGINT) % CAST(tot AS BIGINT) AS rest FROM q),
+      y AS (SELECT *, 30 - sum(w) OVER () AS lft, row_number() OVER (PARTITION BY w < t ORDER BY rest DESC, t DESC, regiao DESC, porte DESC) AS i FROM z),
+      a AS (SELECT regiao, porte, w + CASE WHEN w < t AND i <= lft THEN 1 ELSE 0 END AS alocados FROM y),
+      d AS (SELECT c.*, sha256(concat('91:', CAST(k AS VARCHAR))) AS draw FROM c),
+      o AS (SELECT *, row_number() OVER (PARTITION BY regiao, porte ORDER BY draw, k) AS r FROM d)
+    SELECT k, regiao, porte, n, CAST(row_number() OVER (ORDER BY draw, regiao, porte, k) AS INTEGER) AS ordem_sorteio, 91 AS seed FROM o JOIN a USING (regiao, porte) WHERE r <= alocados""",
+)
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """The seeded picks (hash order, so rows only)."""
-    return sample.stratified_sample(universe(spark, sf), 30, 91, key="k")
+    """W4."""
+    return sample.stratified_sample(universe(spark, sf), 30, 91, key="k").select("k", "regiao", "porte", "n", "ordem_sorteio", "seed")
 
 
 @query(
