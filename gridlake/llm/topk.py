@@ -76,12 +76,12 @@ def exact_topk(candidates: DataFrame, queries: DataFrame, k: int, pivots: int =
     picked = [r["ints"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "ints").limit(pivots).collect()]
     shared = spark.sparkContext.broadcast(picked)
     cells = max(1, -(-n // cell))
-    own = rows.select((F.pmod(F.xxhash64("vec_id"), F.lit(cells)) * 4096 + F.size("ints")).alias("cell"), F.lit(-1).cast("long").alias("part"), "vec_id", "ints")
+    own = rows.select(F.xxhash64(F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("long"), F.size("ints")).alias("cell"), F.lit(-1).cast("long").alias("part"), "vec_id", "ints")
     # a chunk holds about `chunk` queries whatever their number
     chunks = max(1, -(-asked.count() // chunk))
     every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("c"), "vec_id", "ints").select(
-        (F.col("c") * 4096 + F.size("ints")).alias("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("long").alias("part"), "vec_id", "ints")
-    both = own.unionByName(every).repartition("cell").sortWithinPartitions("cell", "part").withColumn("run", F.hash("cell", "part").cast("long"))
+        F.xxhash64(F.col("c").cast("long"), F.size("ints")).alias("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("long").alias("part"), "vec_id", "ints")
+    both = own.unionByName(every).repartition("cell").sortWithinPartitions("cell", "part").withColumn("run", F.xxhash64("cell", "part"))
 
     def over(batches):
         held, number = None, None
