@@ -37,6 +37,8 @@ FAN = 8
 AT_ONCE = 1 << 22
 #: Frequent tokens: held by more than ``HOT`` prefixes; at most ``FREQUENT`` (8 bytes each) are collected and broadcast.
 HOT, FREQUENT = 8, 1_000_000
+#: Member rows (about 60 bytes each) that are broadcast to bitmaps or texts, so that these are not shuffled by id.
+BROADCAST_ROWS = 1_000_000
 #: Sets of one run; a cell with more is split.
 BLOCK = 512
 
@@ -209,6 +211,11 @@ def frequent_tokens(texts: DataFrame, width: int, percent: int) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
+def _shipped(rows: DataFrame) -> DataFrame:
+    """Rows without texts or bitmaps are broadcast while they are few; more of them are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _links(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Spanning links ``src, dst`` of all cells of ``cell, rep, component``.
 
@@ -221,7 +228,7 @@ def _links(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("rep", "component", "part", (F.col("part") == F.col("other")).alias("same"),
                      F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")).alias("run"))
-    met = met.join(classes.select("rep", "n", "d1", "head", "bits"), "rep")
+    met = classes.select("rep", "n", "d1", "head", "bits").join(_shipped(materialise(met, "met")), "rep")
 
     def survive(run):
         if len(run) < 2:
@@ -232,7 +239,7 @@ def _links(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
         return run.iloc[at][["rep", "n", "d1", "component", "part", "same", "run"]] if len(at) else None
 
     left = materialise(map_runs(met, "run", survive, "rep long, n long, d1 long, component long, part int, same boolean, run long"), "survivors")
-    placed = left.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    placed = texts.select(F.col("id").alias("rep"), "text").join(_shipped(left), "rep")
     def link(run):
         memo = word_memo()
         sets, kept = [], []
