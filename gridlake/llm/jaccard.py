@@ -287,11 +287,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, key:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
-    """``docs`` without near copies: of each component the row with its smallest id stays."""
-    found = jaccard_components(docs, width, percent, key)
-    kept = found.where(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("_kept"))).drop("_kept")
-    # repeated rows of one id are copies too; ids alone are counted, texts move only where needed
-    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(F.col(key).alias("_id"))
-    again = F.col(key).eqNullSafe(F.col("_id"))
-    return rows.join(repeated, again, "left_anti").unionByName(rows.join(repeated, again, "left_semi").dropDuplicates([key]))
+    """``docs`` without near copies: of each component one row with its smallest id (null last) stays.
+
+    Rows are told apart by a hash of id and text, as ids may be null or repeated; rows without words all stay.
+    """
+    rows = docs.withColumn("_row", F.xxhash64(F.col(key), F.col("text")))
+    found = materialise(jaccard_components(rows, width, percent, "_row").where("n_shingles > 0").groupBy("_row", "component_id").agg(F.count(F.lit(1)).alias("_n")), "found")
+    place = F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("id"), "_row")
+    first = found.join(rows.select("_row", key).distinct(), "_row").groupBy("component_id").agg(F.min(place).alias("first")).select(F.col("first._row").alias("_row"))
+    kept = materialise(found.join(first, "_row", "left_semi"), "kept")
+    left = rows.join(found.join(first, "_row", "left_anti"), "_row", "left_anti")
+    # equal rows have one hash; their texts move only where needed
+    again = kept.where("_n > 1").select("_row")
+    return left.join(again, "_row", "left_anti").unionByName(left.join(again, "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)

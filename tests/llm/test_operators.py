@@ -258,6 +258,16 @@ def test_jaccard_long_and_chained(spark):
     assert dict(zip(got["doc_id"], got["component_id"], strict=True)) == brute_components(sets, 85)
 
 
+def test_one_of_each_without_usable_ids(spark):
+    rng = random.Random(21)
+    texts = [" ".join(words(rng, 40)) for _ in range(6)]
+    near = texts[1] + " end"
+    rows = [(None, texts[0]), (None, texts[1]), (None, near), (7, texts[2]), (7, texts[3]), (8, texts[3] + " end"), (9, texts[4]), (9, texts[4]), (None, texts[5]), (3, texts[5]), (None, None), (None, ""), (7, None)]
+    left = [tuple(r) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(left) == 9 and sum(r in left for r in ((None, texts[1]), (None, near))) == 1
+    assert {(None, texts[0]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (3, texts[5]), (None, None), (None, ""), (7, None)} <= set(left)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
