@@ -334,6 +334,17 @@ def test_lines(spark, docs, none):
     assert all(r["n_chars"] == len(r["text"]) for r in by_id.values() if r["text"] is not None)
 
 
+def test_repeated_lines_without_usable_ids(spark):
+    rng = random.Random(22)
+    a, b, c, d, e, f, same = (" ".join(words(rng, 14)) for _ in range(7))
+    rows = [(1, same), (None, f"{a}\n{same}"), (None, f"{b}\n{c}"), (5, f"{d}\n{same}"), (5, f"{e}\n{f}"), (None, c)]
+    left = lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in left)
+    assert [x for x in got if x[0]] == sorted([(1, same), (5, d), (5, f"{e}\n{f}")])
+    # which of the two rows without an id keeps the line they share is left to their hashes
+    assert got[: len(left) - 3] in (sorted([(0, a), (0, f"{b}\n{c}")]), sorted([(0, a), (0, b), (0, c)]))
+
+
 PAGE = (
     '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href="/x">Home page</a></nav>'
     '<div class="cookie-notice">We use cookies and more words here</div><article><h1>Title &amp; more</h1><p>First   <b>bold</b>\n text &lt;x&gt;.<p>Second 1 &lt; 2'
