@@ -7,7 +7,9 @@ languages in bit slices: slot -> bitmask of languages; the AND of an n-gram's ``
 bits of all languages that contain it.
 
 Prediction: per language the set bits of a text's n-grams are counted and corrected for false positives,
-``(hits - n * f) / (1 - f)`` with ``f = fill ** HASHES``. The greatest corrected count wins (ties: first
+``(hits - n * f) / (1 - f)`` with ``f = fill ** HASHES``. The slots follow from the number of n-grams of the largest
+language (fill of one half at most). Where even ``MOST_SLOTS`` are too few, n-grams rarer than a rate in their language are
+left out; as rates add up to ``len(SIZES)`` at most, the rest always fits. The greatest corrected count wins (ties: first
 language in order); the score is its share of the n-grams.
 
 Cases: null text or no letter gives ``und`` with score 0, as does a model without labelled rows; null
@@ -28,12 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlake.llm.common import Remembered, crc_fold
+from gridlake.session import materialise
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (2, 3, 4)
 HASHES = 3
-#: Slots of the filter; with 8 bytes a slot this bounds what is collected and broadcast.
-SLOTS = 1 << 20
+#: Least and most slots of the filter; with 8 bytes a slot the latter bounds what is collected and broadcast.
+SLOTS, MOST_SLOTS = 1 << 20, 1 << 23
+#: Share of slots a language may fill; filters are sized for one half.
+MOST_FILL = 0.6
 SHARE = 0.25
 #: Languages in one mask word.
 LANES = 62
@@ -69,7 +74,9 @@ class LanguageFilter:
     @property
     def false_rate(self) -> np.ndarray:
         fill = [np.count_nonzero(self.masks[i // LANES] >> (i % LANES) & 1) / self.masks.shape[1] for i in range(len(self.languages))]
-        return np.minimum(np.array(fill) ** HASHES, 0.999)
+        if max(fill, default=0) > MOST_FILL:
+            raise ValueError(f"language filter too small: {max(fill):.2f} of its slots are set for one language")
+        return np.array(fill) ** HASHES
 
     def vector(self, joint: tuple[int, ...]) -> np.ndarray:
         """1 for each language in the mask words ``joint``."""
@@ -117,22 +124,35 @@ def _gram_counts(batches):
     yield from flush()
 
 
-def learn(rows: DataFrame, slots: int = SLOTS, share: float = SHARE) -> LanguageFilter:
-    """Fit on all ``lang, text`` rows without nulls. Only the language list and the filter reach the driver."""
+def slots_for(n: int) -> int:
+    """The power of two of slots that ``n`` n-grams fill to one half at most."""
+    return 1 << int(n * HASHES / np.log(2)).bit_length()
+
+
+def learn(rows: DataFrame, slots: int = SLOTS, share: float = SHARE, most: int = MOST_SLOTS) -> LanguageFilter:
+    """Fit on all ``lang, text`` rows without nulls. Only the language list, a count per language and the filter reach the driver.
+
+    ``slots``, ``most`` (powers of two): the filter has ``slots`` or as many more as its n-grams ask for, up to ``most``.
+    """
     counts = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInPandas(
         _gram_counts, "gram long, lang string, n long"
     ).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["n"] for r in rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").agg(
         F.sum(F.length("text") + 1).alias("n")).collect()}
     languages = tuple(sorted(totals))
-    masks = np.zeros((max(1, -(-len(languages) // LANES)), slots), np.int64)
+    lanes = max(1, -(-len(languages) // LANES))
     if not languages:
-        return LanguageFilter(languages, masks)
+        return LanguageFilter(languages, np.zeros((lanes, slots), np.int64))
     known = F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.struct(F.lit(i).alias("i"), F.lit(float(totals[lang])).alias("total")))])
     rated = counts.select("gram", known[F.col("lang")].alias("k"), "n").select("gram", F.struct((F.col("n") / F.col("k.total")).alias("rate"), F.col("k.i").alias("i")).alias("r"))
     # at most one entry per language
     listed = rated.groupBy("gram").agg(F.collect_list("r").alias("rs"), F.max("r.rate").alias("most"))
-    kept = listed.select("gram", F.explode("rs").alias("r"), "most").where(F.col("r.rate") >= share * F.col("most"))
+    kept = materialise(listed.select("gram", F.explode("rs").alias("r"), "most").where(F.col("r.rate") >= share * F.col("most")).select("gram", "r"), "grams")
+    largest = max((r["count"] for r in kept.groupBy("r.i").count().collect()), default=0)
+    if slots_for(largest) > most:
+        kept = kept.where(F.col("r.rate") >= len(SIZES) * HASHES / (np.log(2) * most))
+    slots = min(max(slots, slots_for(largest)), max(slots, most))
+    masks = np.zeros((lanes, slots), np.int64)
     positions = F.array(*[
         F.pmod(F.col("gram").bitwiseAND(0xFFFFFFFF) + F.lit(i) * F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1)), F.lit(slots)) for i in range(HASHES)
     ])

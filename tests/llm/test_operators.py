@@ -176,6 +176,21 @@ def test_language_unlabelled(docs):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("most", [1 << 20, 1 << 14])
+def test_language_of_very_many_grams(spark, most):
+    rng = random.Random(23)
+    noise = lambda n: " ".join("".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(8)) for _ in range(n))
+    rows = [(lang, " ".join(words(rng, 60, lang))) for lang in ("xx", "yy") for _ in range(20)] + [("zz", noise(500)) for _ in range(10)]
+    model = language.learn(spark.createDataFrame(rows, "lang string, text string"), slots=1 << 12, most=most)
+    assert model.masks.shape[1] <= most and (model.false_rate <= 0.6**language.HASHES).all()
+    score = language._Scorer(model)
+    assert [x for x, _ in score([" ".join(words(rng, 30, lang)) for lang in ("xx", "yy") for _ in range(5)])] == ["xx"] * 5 + ["yy"] * 5
+    if most == 1 << 20:
+        assert score([rows[-1][1]]) == [("zz", 1.0)] and score([noise(50)])[0][1] < 0.3
+    with pytest.raises(ValueError):
+        language.LanguageFilter(("a",), np.ones((1, 64), np.int64)).false_rate  # noqa: B018
+
+
 def test_bloom_members_and_correction():
     masks = np.zeros((2, 64), np.int64)
     names = tuple(f"l{i:02}" for i in range(70))
