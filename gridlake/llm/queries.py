@@ -35,7 +35,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_classes(_table(spark, sf_dir, "documents"))
+    return lines.line_classes(_table(spark, sf_dir, "documents"), most=None)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,6 +349,27 @@ def test_lines(spark, docs, none):
     assert all(r["n_chars"] == len(r["text"]) for r in by_id.values() if r["text"] is not None)
 
 
+def test_lines_of_any_length(spark):
+    rng = random.Random(24)
+    base, rows = [], []
+    for n in (20, 45, 75, 79, 80, 130, 300, 330, 500, 700):
+        base.append("".join(rng.choice("abcdefgh ") for _ in range(n)).replace("  ", "ab").ljust(n, "x"))
+        rows.append(base[-1])
+        for edits in (n // 20, n // 20 + 1, n // 40):  # evenly spread, so that no long stretch is left alone
+            b = list(base[-1])
+            for i in range(edits):
+                at = int((i + 0.5) * n / edits)
+                b[at] = rng.choice(("Z", "", b[at] + "Y"))
+            rows.append("".join(b))
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sorted(map(tuple, lines.line_classes(table, most=None).select("doc_id", "class_doc_id", "n_links").collect()))
+    near = [[i != j and (rows[i] == rows[j] or distance(rows[i], rows[j]) <= min(len(rows[i]), len(rows[j])) // 20)
+             if abs(len(rows[i]) - len(rows[j])) <= 35 else False for j in range(len(rows))] for i in range(len(rows))]
+    root = lines.roots(len(rows), *np.nonzero(near))
+    assert got == [(i, root[i], sum(near[i])) for i in range(len(rows))]
+    assert lines.whole_distance(rows[-4], rows[-1]) == distance(rows[-4], rows[-1])
+
+
 def test_repeated_lines_without_usable_ids(spark):
     rng = random.Random(22)
     a, b, c, d, e, f, same = (" ".join(words(rng, 14)) for _ in range(7))
