@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlake.llm import html_text, jaccard, language, lines, mixing, near_vectors, packing, quality, sharding, topk
+from gridlake.llm import byte_pairs, divergence, fill_middle, html_text, jaccard, language, lines, mixing, near_vectors, packing, quality, sharding, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_near_vectors, op3_best_fit_packing, op4_exact_topk, op5_language_id, op6_line_dedup, op7_ngram_jaccard, op8_html_extraction, op9_sharding, op10_source_mixing)}
-ORACLES = {"op10_source_mixing": mixing.ORACLE}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.digests(byte_pairs.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_near_vectors, op3_best_fit_packing, op4_exact_topk, op5_language_id, op6_line_dedup, op7_ngram_jaccard, op8_html_extraction, op9_sharding, op10_source_mixing, op11_fill_in_middle, op12_source_divergence, op13_byte_pairs)}
+ORACLES = {"op10_source_mixing": mixing.ORACLE, "op11_fill_in_middle": fill_middle.ORACLE, "op12_source_divergence": divergence.ORACLE}
