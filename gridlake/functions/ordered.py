@@ -35,31 +35,34 @@ def range_chunks(df: DataFrame, order: Sequence[str | Column], chunks: int | Non
     return materialise(ranged, "ranges")
 
 
-def running_total(
-    df: DataFrame,
-    order: Sequence[str | Column],
-    value: Column,
-    out: str,
-    chunks: int | None = None,
-) -> DataFrame:
-    """Inclusive running total of ``value`` over the whole table in ``order``."""
-    ranged = range_chunks(df.withColumn("_value", value), order, chunks)
+def running_totals(df: DataFrame, order: Sequence[str | Column], columns: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """``columns`` replaced by their inclusive running totals over the whole table in ``order``."""
+    ranged = range_chunks(df, order, chunks)
     # one row per range: bounded by the number of ranges, never by the data
-    totals = ranged.groupBy(CHUNK).agg(F.sum("_value").alias("_total"))
+    totals = ranged.groupBy(CHUNK).agg(*[F.sum(c).alias(f"_total_{c}") for c in columns])
     before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        CHUNK, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start")
-    )
+    starts = totals.select(CHUNK, *[F.coalesce(F.sum(f"_total_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in columns])
     inside = Window.partitionBy(CHUNK).orderBy(*_as_columns(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
         ranged.join(F.broadcast(starts), CHUNK)
-        .withColumn(out, F.col("_start") + F.sum("_value").over(inside))
-        .drop(CHUNK, "_value", "_total", "_start")
+        .withColumns({c: F.col(f"_start_{c}") + F.sum(c).over(inside) for c in columns})
+        .drop(CHUNK, *[f"_start_{c}" for c in columns])
     )
 
 
+def running_total(
+    df: DataFrame,
+    order: Sequence[str | Column],
+    value: Column,
+    out: str,
+    chunks: int | None = None,
+) -> DataFrame:
+    """Inclusive running total of ``value`` over the whole table in ``order``."""
+    return running_totals(df.withColumn(out, value), order, [out], chunks)
+
+
 def global_rank(
     df: DataFrame, order: Sequence[str | Column], out: str = "rank", chunks: int | None = None
 ) -> DataFrame:

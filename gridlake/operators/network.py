@@ -16,7 +16,7 @@ from gridlake.functions.columns import is_open, is_remote, number, round_to, tex
 from gridlake.functions.geo import distance_to_edges, with_shape
 from gridlake.functions.keyed import first_per_key
 from gridlake.operators.components import connected_components
-from gridlake.operators.traverse import breadth_first
+from gridlake.operators.forest import breadth_first
 from gridlake.session import materialise
 
 SEGMENT, SWITCH, TIE = "trecho", "chave", "tie"

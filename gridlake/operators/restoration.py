@@ -1,7 +1,8 @@
 """Isolation and restoration for every possible faulted zone of the whole network at once.
 
 A *zone* is what no switch divides. The network is contracted to zones joined by switches; a fault
-scenario is a zone, and everything a fault does follows from which zones hang below it.
+scenario is a zone, and everything a fault does follows from which branches hang below it. Branches are
+intervals of the forest's order, so totals are differences of running totals and no scenario is paired with the zones it affects.
 """
 
 from __future__ import annotations
@@ -9,12 +10,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.columns import round_to
-from gridlake.functions.ordered import rank_in_group
 from gridlake.operators.components import connected_components
+from gridlake.operators.forest import (
+    Cuts,
+    ancestors_of,
+    breadth_first,
+    jump_tables,
+    off_tree_edges,
+    shortest_paths,
+    subtree_order,
+    subtree_sums,
+)
 from gridlake.operators.network import (
     CUSTOMER_COLUMNS,
     EXTERNAL,
@@ -24,17 +34,10 @@ from gridlake.operators.network import (
     source_table,
     sum_customers,
 )
-from gridlake.operators.traverse import (
-    ancestor_table,
-    breadth_first,
-    edge_cuts,
-    off_tree_edges,
-    shortest_paths,
-    vertex_cuts,
-)
 from gridlake.session import materialise
 
 _SEP = "\u0001"
+TOTALS = ["n_nodes", *CUSTOMER_COLUMNS]
 
 
 @dataclass
@@ -45,7 +48,10 @@ class ZoneGraph:
     links: DataFrame  # edge_id, gate, kind, src, dst (zones), open, ctmt, tlcd, tip_unid, external
     seeds: DataFrame  # node (zone), source, ord
     forest: DataFrame  # breadth-first forest over closed links
-    ancestors: DataFrame  # node, anc, branch, dist
+    order: DataFrame  # node, root, low, high
+    jumps: list[DataFrame]  # node, anc, branch by powers of two
+    cuts: Cuts  # branches without supply per removed zone or link
+    below: DataFrame  # node, customers of its whole subtree
     customers: DataFrame  # zone, n_nodes, ucbt, ucmt, trafos, kva
     switches: DataFrame  # gate, ctmt_chave, tlcd, tip_unid, externa
 
@@ -57,9 +63,9 @@ def zone_labels(edges: DataFrame) -> DataFrame:
     return connected_components(inner.select("src", "dst"), nodes).withColumnRenamed("component", "zone")
 
 
-def zone_graph(edges: DataFrame, sources: DataFrame, customers: DataFrame) -> ZoneGraph:
-    """Contract the network to zones and root it at the sources."""
-    zones = zone_labels(edges)
+def zone_graph(edges: DataFrame, sources: DataFrame, customers: DataFrame, zones: DataFrame | None = None) -> ZoneGraph:
+    """Contract the network to zones (labels may be given) and root it at the sources."""
+    zones = zone_labels(edges) if zones is None else zones
     crossing = edges.where(
         F.col("gate").isNotNull() | is_external(F.col("src")) | is_external(F.col("dst"))
     )
@@ -80,10 +86,15 @@ def zone_graph(edges: DataFrame, sources: DataFrame, customers: DataFrame) -> Zo
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CUSTOMER_COLUMNS[:3]],
         F.coalesce(F.sum(F.col("kva").cast("decimal(28,6)")).cast("double"), F.lit(0.0)).alias("kva"),
     )
+    totals = materialise(totals, "totals")
     switches = edges.where(F.col("kind") == SWITCH).select(
         "gate", F.col("ctmt").alias("ctmt_chave"), "tlcd", "tip_unid", F.col("external").alias("externa")
     )
-    return ZoneGraph(zones, links, seeds, forest, ancestor_table(forest), materialise(totals, "totals"), switches)
+    order = subtree_order(forest)
+    jumps = jump_tables(forest)
+    below = subtree_sums(order, totals.withColumnRenamed("zone", "node"), TOTALS)
+    cuts = Cuts(links.where(~F.col("open")).select("edge_id", "src", "dst"), forest, order, jumps)
+    return ZoneGraph(zones, links, seeds, forest, order, jumps, cuts, materialise(below, "below"), totals, switches)
 
 
 def boundaries(graph: ZoneGraph) -> DataFrame:
@@ -134,18 +145,16 @@ def _explicit(graph: ZoneGraph, removals: DataFrame) -> tuple[DataFrame, DataFra
     return lost, fed
 
 
-def _loop_survivors(graph: ZoneGraph, closed: DataFrame, simple: DataFrame) -> DataFrame:
-    """Scenarios where a zone below the fault stays supplied and several sources share the island."""
+def _loop_survivors(graph: ZoneGraph, closed: DataFrame) -> DataFrame:
+    """Scenarios where a branch below the fault stays supplied and several sources share the island."""
     fed = graph.forest.select("node", "source")
     loops = off_tree_edges(closed, graph.forest)
     sides = loops.join(fed.select(F.col("node").alias("src"), F.col("source").alias("_a")), "src").join(
         fed.select(F.col("node").alias("dst"), F.col("source").alias("_b")), "dst"
     ).where(F.col("_a") != F.col("_b"))
     shared = sides.select(F.explode(F.array("_a", "_b")).alias("source")).distinct()
-    below = graph.ancestors.join(fed.join(shared, "source", "left_semi").select("node"), "node", "left_semi")
-    return below.select(F.col("anc").alias("cut"), F.col("node").alias("lost")).join(
-        simple.select("cut", "lost"), ["cut", "lost"], "left_anti"
-    ).where(~is_external(F.col("cut"))).select(F.col("cut").alias("scenario"))
+    below = graph.forest.where(F.col("parent").isNotNull()).join(shared, "source", "left_semi").select(F.col("parent").alias("scenario"), F.col("node").alias("branch"))
+    return below.join(graph.cuts.branches.select("branch"), "branch", "left_anti").where(~is_external(F.col("scenario"))).select("scenario").distinct()
 
 
 @dataclass
@@ -153,7 +162,8 @@ class Isolation:
     """Effect of opening the boundary of each zone."""
 
     boundary: DataFrame  # zone, gate
-    lost: DataFrame  # cut, lost, component: healthy zones without supply
+    branches: DataFrame  # cut, branch, component: everything below the branch is without supply
+    single: DataFrame  # cut, lost, component: zones without supply in the scenarios that are searched one by one
     refed: DataFrame  # cut, node, source: only where the source differs from the normal forest
 
 
@@ -161,18 +171,18 @@ def isolate_zones(graph: ZoneGraph) -> Isolation:
     """Isolation of every zone."""
     boundary = boundaries(graph)
     closed = graph.links.where(~F.col("open"))
-    cuts = vertex_cuts(closed, graph.forest, graph.ancestors)
-    simple = materialise(cuts.where(~is_external(F.col("cut"))), "cuts")
+    simple = graph.cuts.branches.where(~is_external(F.col("cut"))).withColumnRenamed("piece", "component")
     # scenarios to search explicitly: a boundary switch that also opens a link elsewhere, and closed
     # loops fed by several sources (the surviving source may change)
     multi = _multi_gates(graph)
     apart = closed.join(multi, "gate", "left_semi").select("gate", F.array("src", "dst").alias("_ends"))
     elsewhere = boundary.join(apart, "gate").where(~F.array_contains("_ends", F.col("zone"))).select(F.col("zone").alias("scenario"))
-    survivors = _loop_survivors(graph, closed, simple)
-    special = materialise(elsewhere.unionByName(survivors).distinct(), "special")
-    none = graph.forest.select(F.col("node").alias("cut"), "node", "source").where(F.lit(False))
+    special = materialise(elsewhere.unionByName(_loop_survivors(graph, closed)).distinct(), "special")
+    kind = graph.forest.schema["node"].dataType.simpleString()
     if special.isEmpty():
-        return Isolation(boundary, simple, none)
+        spark = simple.sparkSession
+        return Isolation(
+            boundary, simple, spark.createDataFrame([], f"cut {kind}, lost {kind}, component {kind}"), spark.createDataFrame([], f"cut {kind}, node {kind}, source string"))
     removals = special.withColumn("anchor", F.col("scenario")).join(
         boundary.withColumnRenamed("zone", "scenario"), "scenario"
     )
@@ -184,20 +194,43 @@ def isolate_zones(graph: ZoneGraph) -> Isolation:
     )
     return Isolation(
         boundary,
-        materialise(plain.unionByName(lost.select("cut", "lost", "component")), "lost"),
+        materialise(plain, "branches"),
+        materialise(lost.select("cut", "lost", "component"), "lost"),
         materialise(changed.select(F.col("scenario").alias("cut"), "node", "source"), "refed"),
     )
 
 
+def lost_at(graph: ZoneGraph, isolation: Isolation, zones: DataFrame | None = None) -> DataFrame:
+    """cut, lost, component: the scenarios that leave the given zones (``node``) without supply; all zones if none are given."""
+    asked = graph.forest.select("node") if zones is None else zones.select("node").distinct()
+    above = ancestors_of(asked, graph.jumps).select(F.col("node").alias("lost"), F.col("anc").alias("cut"), "branch")
+    simple = above.join(isolation.branches, ["cut", "branch"]).select("cut", "lost", "component")
+    return simple.unionByName(isolation.single.join(asked.withColumnRenamed("node", "lost"), "lost", "left_semi").select("cut", "lost", "component"))
+
+
+def piece_totals(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
+    """cut, component, customers: what each piece without supply holds."""
+    simple = isolation.branches.join(graph.below.withColumnRenamed("node", "branch"), "branch")
+    single = isolation.single.join(graph.customers.withColumnRenamed("zone", "lost"), "lost")
+    return simple.select("cut", "component", *TOTALS).unionByName(single.select("cut", "component", *TOTALS)).groupBy("cut", "component").agg(
+        *[F.sum(c).alias(c) for c in TOTALS])
+
+
+def piece_regions(graph: ZoneGraph, isolation: Isolation, regions: DataFrame, by: str = "region") -> DataFrame:
+    """cut, component, region, n: customers per region of each piece, from ``regions``: node (a zone), region, n."""
+    counted = regions.where(F.col(by).isNotNull()).groupBy("node", by).agg(F.sum("n").alias("n"))
+    below = subtree_sums(graph.order, counted, ["n"], wanted=isolation.branches.select(F.col("branch").alias("node")), by=by)
+    simple = isolation.branches.join(below.withColumnRenamed("node", "branch"), "branch").where("n > 0")
+    single = isolation.single.join(counted.withColumnRenamed("node", "lost"), "lost")
+    return simple.select("cut", "component", by, "n").unionByName(single.select("cut", "component", by, "n")).groupBy("cut", "component", by).agg(F.sum("n").alias("n"))
+
+
 def isolation_table(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
     """One row per zone: switches to open, customers inside, healthy nodes and customers lost."""
     opens = isolation.boundary.groupBy("zone").agg(
         F.array_join(F.array_sort(F.collect_list("gate")), ";").alias("chaves")
     )
-    lost = isolation.lost.where(~is_external(F.col("lost"))).join(
-        graph.customers.withColumnRenamed("zone", "lost"), "lost"
-    )
-    totals = lost.groupBy(F.col("cut").alias("zone")).agg(
+    totals = piece_totals(graph, isolation).groupBy(F.col("cut").alias("zone")).agg(
         F.sum("n_nodes").alias("nos_desligados"),
         *[F.sum(c).alias(f"desligados_{c}") for c in CUSTOMER_COLUMNS[:3]],
     )
@@ -219,7 +252,8 @@ def segment_zones(edges: DataFrame, zones: DataFrame) -> DataFrame:
 def recovered_components(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
     """cut, gate, component: lost pieces each open switch touches, whether or not it helps."""
     ends = _open_ends(graph)
-    return isolation.lost.join(ends.withColumnRenamed("x", "lost"), "lost").select("cut", "gate", "component").distinct()
+    lost = lost_at(graph, isolation, ends.select(F.col("x").alias("node")))
+    return lost.join(ends.withColumnRenamed("x", "lost"), "lost").select("cut", "gate", "component").distinct()
 
 
 def _open_ends(graph: ZoneGraph) -> DataFrame:
@@ -239,8 +273,10 @@ def restoration_options(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
     One row per (zone, switch): source, recovered nodes and customers, customers already on that
     source, rank by customers, remote control, code.
     """
-    lost = isolation.lost
-    candidates = lost.join(_open_ends(graph).withColumnRenamed("x", "lost"), "lost")
+    ends = materialise(_open_ends(graph), "ends")
+    # only the ends of open switches are looked up, both of them
+    lost = materialise(lost_at(graph, isolation, ends.select(F.col("x").alias("node"))), "located")
+    candidates = lost.join(ends.withColumnRenamed("x", "lost"), "lost")
     alive = candidates.join(graph.forest.select(F.col("node").alias("y"), F.col("source").alias("_src")), "y")
     alive = alive.join(lost.select("cut", F.col("lost").alias("y")), ["cut", "y"], "left_anti")
     rooted = graph.seeds.select(F.col("node").alias("cut"), F.lit(True).alias("_rooted"))
@@ -252,11 +288,8 @@ def restoration_options(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
         F.min(F.struct("order", "edge_id", "side", F.col("_src").alias("fonte"))).alias("_b")
     ).select("cut", "gate", F.col("_b.fonte").alias("fonte"))
 
-    pieces = lost.where(~is_external(F.col("lost"))).join(graph.customers.withColumnRenamed("zone", "lost"), "lost")
-    per_piece = pieces.groupBy("cut", "component").agg(
-        F.sum("n_nodes").alias("n_nodes"), *[F.sum(c).alias(c) for c in CUSTOMER_COLUMNS]
-    )
-    gained = chosen.join(recovered_components(graph, isolation), ["cut", "gate"]).join(per_piece, ["cut", "component"])
+    touched = candidates.select("cut", "gate", "component").distinct()
+    gained = chosen.join(touched, ["cut", "gate"]).join(piece_totals(graph, isolation), ["cut", "component"])
     totals = gained.groupBy("cut", "gate", "fonte").agg(
         F.sum("n_nodes").alias("nos"), *[F.sum(c).alias(c) for c in CUSTOMER_COLUMNS]
     )
@@ -264,9 +297,9 @@ def restoration_options(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
     rows = totals.join(graph.switches, "gate").join(served, ["cut", "fonte"], "left").withColumn(
         "clientes", F.col("ucbt") + F.col("ucmt")
     )
-    ranked = rank_in_group(
-        rows, ["cut"], [F.col("clientes").desc(), F.col("tlcd").desc(), F.col("gate")], "ordem"
-    )
+    # the options of one zone are at most the open switches around its island
+    best = Window.partitionBy("cut").orderBy(F.col("clientes").desc(), F.col("tlcd").desc(), "gate")
+    ranked = rows.withColumn("ordem", F.row_number().over(best).cast("long"))
     return ranked.select(
         F.col("cut").alias("zone"), F.col("gate").alias("chave"), "ctmt_chave", "fonte", "tlcd", "tip_unid", "externa",
         "nos", "ucbt", "ucmt", "clientes", "trafos", "kva", F.coalesce("clientes_fonte", F.lit(0)).alias("clientes_fonte"),
@@ -284,7 +317,11 @@ def source_load(graph: ZoneGraph, isolation: Isolation, wanted: DataFrame) -> Da
     normal = fed.groupBy(F.col("source").alias("fonte")).agg(F.sum("n").alias("_normal"))
     rooted = graph.seeds.select("node")
     own = fed.join(rooted, "node", "left_anti").select(F.col("node").alias("cut"), F.col("source").alias("fonte"), (-F.col("n")).alias("d"))
-    gone = isolation.lost.select("cut", F.col("lost").alias("node")).join(fed, "node").select("cut", F.col("source").alias("fonte"), (-F.col("n")).alias("d"))
+    # a branch has the source of the zone above it
+    source = graph.forest.select(F.col("node").alias("cut"), F.col("source").alias("fonte"))
+    fallen = isolation.branches.join(graph.below.withColumnRenamed("node", "branch"), "branch").join(source, "cut").select(
+        "cut", "fonte", (-(F.col("ucbt") + F.col("ucmt"))).alias("d"))
+    gone = isolation.single.select("cut", F.col("lost").alias("node")).join(fed, "node").select("cut", F.col("source").alias("fonte"), (-F.col("n")).alias("d")).unionByName(fallen)
     moved = isolation.refed.select("cut", "node", F.col("source").alias("_new")).join(fed, "node")
     leave = moved.select("cut", F.col("source").alias("fonte"), (-F.col("n")).alias("d"))
     arrive = moved.select("cut", F.col("_new").alias("fonte"), F.col("n").alias("d"))
@@ -301,35 +338,72 @@ def zone_paths(graph: ZoneGraph) -> DataFrame:
         "node", F.col("via").alias("edge_id"), F.least("node", "parent").alias("_lo"), F.greatest("node", "parent").alias("_hi"), "hops"
     ).join(via, ["edge_id", "_lo", "_hi"]).select("node", "gate", "hops")
     own = steps.select(F.col("node").alias("zone"), "gate", "hops")
-    above = graph.ancestors.select(F.col("node").alias("zone"), F.col("anc").alias("node")).join(steps, "node").select("zone", "gate", "hops")
+    above = ancestors_of(graph.forest, graph.jumps).select(F.col("node").alias("zone"), F.col("anc").alias("node")).join(steps, "node").select("zone", "gate", "hops")
     return own.unionByName(above).where(F.col("gate").isNotNull()).withColumnRenamed("hops", "position")
 
 
-def switch_downstream(graph: ZoneGraph) -> DataFrame:
-    """gate, lost (zone): zones without supply when a closed switch opens."""
+def _gate_branches(graph: ZoneGraph) -> tuple[DataFrame, DataFrame]:
+    """(gate, branch) of the closed switches with one link that hold a branch up, and (gate, lost) of those with several links."""
     closed = graph.links.where(~F.col("open"))
-    cut = edge_cuts(closed, graph.forest, graph.ancestors)
-    gates = closed.select("edge_id", "gate", F.least("src", "dst").alias("_lo"), F.greatest("src", "dst").alias("_hi"))
-    tops = graph.forest.where(F.col("via").isNotNull()).select(
-        F.col("via").alias("edge_id"), F.col("node").alias("child"), F.least("node", "parent").alias("_lo"), F.greatest("node", "parent").alias("_hi")
-    ).join(gates, ["edge_id", "_lo", "_hi"]).where(F.col("gate").isNotNull()).select("edge_id", "child", "gate")
-    plain = cut.join(tops, ["edge_id", "child"]).select("gate", "lost")
+    bridges = graph.cuts.bridges.join(closed.where(F.col("gate").isNotNull()).select("edge_id", "gate"), "edge_id").select("gate", "branch")
     multi = materialise(_multi_gates(graph), "multi")
     if multi.isEmpty():
-        return plain.where(~is_external(F.col("lost")))
+        return bridges, bridges.select("gate", F.col("branch").alias("lost")).where(F.lit(False))
     anchors = closed.join(multi, "gate").select(F.col("gate").alias("scenario"), F.col("src").alias("anchor"), "gate").distinct()
     lost, _ = _explicit(graph, anchors)
-    exact = lost.select(F.col("scenario").alias("gate"), "lost").distinct()
-    return plain.join(multi, "gate", "left_anti").unionByName(exact).where(~is_external(F.col("lost")))
+    return bridges.join(multi, "gate", "left_anti"), materialise(lost.select(F.col("scenario").alias("gate"), "lost").distinct(), "multi")
 
 
-def node_downstream(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """node, lost: nodes that have supply only through ``node`` (itself included)."""
+def switch_downstream(graph: ZoneGraph) -> DataFrame:
+    """gate, lost (zone): zones without supply when a closed switch opens (N7); for totals see ``switch_totals``."""
+    branches, several = _gate_branches(graph)
+    # whatever hangs on the branch: the branch itself, and zones that have it among their ancestors
+    under = ancestors_of(graph.forest, graph.jumps).select(F.col("node").alias("lost"), F.col("anc").alias("branch"))
+    under = under.unionByName(graph.forest.select(F.col("node").alias("lost"), F.col("node").alias("branch")))
+    return branches.join(under, "branch").select("gate", "lost").unionByName(several).where(~is_external(F.col("lost")))
+
+
+def switch_totals(graph: ZoneGraph) -> DataFrame:
+    """gate, branch (null for a switch with several links), zonas and customer totals of what it holds up."""
+    branches, several = _gate_branches(graph)
+    real = graph.forest.where(~is_external(F.col("node"))).select("node", F.lit(1).cast("long").alias("zonas"))
+    zones = subtree_sums(graph.order, real, ["zonas"], wanted=branches.select(F.col("branch").alias("node")))
+    one = branches.join(graph.below.join(zones, "node").withColumnRenamed("node", "branch"), "branch").select("gate", "branch", "zonas", *TOTALS)
+    more = several.where(~is_external(F.col("lost"))).join(graph.customers.withColumnRenamed("zone", "lost"), "lost").groupBy("gate").agg(
+        F.count(F.lit(1)).alias("zonas"), *[F.sum(c).alias(c) for c in TOTALS])
+    return one.unionByName(more.select("gate", F.lit(None).cast(graph.forest.schema["node"].dataType).alias("branch"), "zonas", *TOTALS))
+
+
+def _rooted(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame], Cuts]:
     closed = edges.where(~F.col("open")).select("edge_id", "src", "dst")
     forest = materialise(breadth_first(closed, source_table(sources, edges)), "forest")
-    cuts = vertex_cuts(closed, forest, ancestor_table(forest)).select(F.col("cut").alias("node"), "lost")
-    itself = forest.select("node", F.col("node").alias("lost"))
-    return cuts.unionByName(itself).where(~is_external(F.col("node")) & ~is_external(F.col("lost")))
+    order, jumps = subtree_order(forest), jump_tables(forest)
+    return forest, order, jumps, Cuts(closed, forest, order, jumps)
+
+
+def node_downstream(edges: DataFrame, sources: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, lost: nodes that have supply only through ``node`` (itself included) (N6); for totals see ``node_totals``."""
+    forest, _, jumps, cuts = _rooted(edges, sources)
+    below = ancestors_of(forest, jumps).select(F.col("node").alias("lost"), F.col("anc").alias("cut"), "branch")
+    below = below.join(cuts.branches.select("cut", "branch"), ["cut", "branch"]).select(F.col("cut").alias("node"), "lost")
+    found = below.unionByName(forest.select("node", F.col("node").alias("lost")))
+    if nodes is not None:
+        found = found.join(nodes.select("node"), "node", "left_semi")
+    return found.where(~is_external(F.col("node")) & ~is_external(F.col("lost")))
+
+
+def node_totals(edges: DataFrame, sources: DataFrame, values: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+    """node, n (nodes that have supply only through it, itself included) and sums of ``columns`` of ``values`` (node, columns) over them."""
+    forest, order, _, cuts = _rooted(edges, sources)
+    own = forest.where(~is_external(F.col("node"))).select("node", F.lit(1).cast("long").alias("n"))
+    columns = columns or []
+    if values is not None:
+        own = own.join(values.select("node", *columns), "node", "left").na.fill(0, columns)
+    own = materialise(own, "own")
+    sums = subtree_sums(order, own, ["n", *columns], wanted=cuts.branches.select(F.col("branch").alias("node")))
+    held = cuts.branches.select(F.col("cut").alias("node"), "branch").join(sums.withColumnRenamed("node", "branch"), "branch").drop("branch")
+    both = held.unionByName(own.select("node", "n", *columns)).groupBy("node").agg(*[F.sum(c).alias(c) for c in ["n", *columns]])
+    return both.where(~is_external(F.col("node")))
 
 
 def fault_footprint(graph: ZoneGraph) -> DataFrame:
@@ -341,10 +415,8 @@ def fault_footprint(graph: ZoneGraph) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "gate"))), lambda s: s["gate"]), ";").alias("indicacoes"),
         F.max_by("gate", F.struct("position", "gate")).alias("ultima_indicacao"),
     )
-    dark = switch_downstream(graph).join(graph.customers.withColumnRenamed("zone", "lost"), "lost").groupBy(
-        F.col("gate").alias("religador")
-    ).agg(
-        F.sum("n_nodes").alias("nos_sem_tensao"), (F.sum("ucbt") + F.sum("ucmt")).alias("clientes_sem_tensao")
+    dark = switch_totals(graph).select(
+        F.col("gate").alias("religador"), F.col("n_nodes").alias("nos_sem_tensao"), (F.col("ucbt") + F.col("ucmt")).alias("clientes_sem_tensao")
     )
     return per_zone.join(graph.forest.select(F.col("node").alias("zone"), F.col("source").alias("fonte")), "zone").join(dark, "religador", "left").select(
         "zone", "fonte", "religador", "indicacoes", "ultima_indicacao",
@@ -359,11 +431,22 @@ def reclose_effect(graph: ZoneGraph, isolation: Isolation, footprint: DataFrame)
     base = footprint.select("zone", "religador").join(inside, ["zone", "religador"], "left").withColumn(
         "religar", F.col("_b").isNull()
     ).drop("_b")
-    below = switch_downstream(graph).select(F.col("gate").alias("religador"), "lost")
-    back = base.where("religar").join(below, "religador").where(F.col("lost") != F.col("zone")).join(
-        isolation.lost.select(F.col("cut").alias("zone"), "lost"), ["zone", "lost"], "left_anti"
-    ).join(graph.customers.select(F.col("zone").alias("lost"), "n_nodes", (F.col("ucbt") + F.col("ucmt")).alias("n")), "lost")
-    totals = back.groupBy("zone").agg(F.sum("n_nodes").alias("nos_religados"), F.sum("n").alias("clientes_religados"))
+    own = graph.customers.select("zone", F.col("n_nodes").alias("_n"), (F.col("ucbt") + F.col("ucmt")).alias("_c"))
+    held = switch_totals(graph).select(F.col("gate").alias("religador"), F.col("branch").alias("_top"), F.col("n_nodes").alias("nos"), (F.col("ucbt") + F.col("ucmt")).alias("n"))
+    back = base.where("religar").join(held, "religador")
+    # behind a switch with one link hang the zone and all that it takes along: the rest comes back
+    dark = piece_totals(graph, isolation).groupBy(F.col("cut").alias("zone")).agg(F.sum("n_nodes").alias("_dn"), (F.sum("ucbt") + F.sum("ucmt")).alias("_dc"))
+    few = materialise(isolation.single.select(F.col("cut").alias("zone")).distinct().unionByName(
+        back.where(F.col("_top").isNull()).select("zone")).distinct(), "few")
+    plain = back.join(few, "zone", "left_anti").join(own, "zone").join(dark, "zone", "left").select(
+        "zone", (F.col("nos") - F.col("_n") - F.coalesce("_dn", F.lit(0))).alias("nos_religados"), (F.col("n") - F.col("_c") - F.coalesce("_dc", F.lit(0))).alias("clientes_religados"))
+    totals = plain
+    if not few.isEmpty():
+        below = switch_downstream(graph).select(F.col("gate").alias("religador"), "lost")
+        listed = back.join(few, "zone", "left_semi").join(below, "religador").where(F.col("lost") != F.col("zone")).join(
+            isolation.single.select(F.col("cut").alias("zone"), "lost"), ["zone", "lost"], "left_anti"
+        ).join(graph.customers.select(F.col("zone").alias("lost"), "n_nodes", (F.col("ucbt") + F.col("ucmt")).alias("_c")), "lost")
+        totals = plain.unionByName(listed.groupBy("zone").agg(F.sum("n_nodes").alias("nos_religados"), F.sum("_c").alias("clientes_religados")))
     return base.join(totals, "zone", "left").select(
         "zone", "religador", "religar", F.coalesce("nos_religados", F.lit(0)).alias("nos_religados"),
         F.coalesce("clientes_religados", F.lit(0)).alias("clientes_religados"),
@@ -381,10 +464,12 @@ def voltage_profile(
     """
     keys = ["zone", "chave"]
     chosen = materialise(chosen.select(*keys, "fonte").distinct(), "chosen")
+    pairs = lost_at(graph, isolation).join(chosen.select(F.col("zone").alias("cut")).distinct(), "cut", "left_semi")
+    pairs = materialise(pairs, "pairs")
     recovered = chosen.select(F.col("zone").alias("cut"), F.col("chave").alias("gate")).join(
         recovered_components(graph, isolation), ["cut", "gate"]
-    ).join(isolation.lost, ["cut", "component"]).select(F.col("cut").alias("zone"), F.col("gate").alias("chave"), F.col("lost").alias("z"))
-    gone = isolation.lost.select(F.col("cut").alias("zone"), F.col("lost").alias("z"))
+    ).join(pairs, ["cut", "component"]).select(F.col("cut").alias("zone"), F.col("gate").alias("chave"), F.col("lost").alias("z"))
+    gone = pairs.select(F.col("cut").alias("zone"), F.col("lost").alias("z"))
     own = chosen.join(graph.forest.select(F.col("source").alias("fonte"), F.col("node").alias("z")), "fonte").where(
         F.col("z") != F.col("zone")
     ).join(gone, ["zone", "z"], "left_anti").select(*keys, "z")
@@ -453,6 +538,6 @@ def step_sequence(options: DataFrame, isolation: Isolation, footprint: DataFrame
 
 __all__ = [
     "EXTERNAL", "Isolation", "ZoneGraph", "boundaries", "fault_footprint", "isolate_zones", "isolation_table",
-    "node_downstream", "reclose_effect", "recovered_components", "restoration_options", "segment_zones",
-    "source_load", "step_sequence", "sum_customers", "switch_downstream", "voltage_profile", "zone_graph", "zone_labels", "zone_paths",
+    "lost_at", "node_downstream", "node_totals", "piece_regions", "piece_totals", "reclose_effect", "recovered_components", "restoration_options", "segment_zones",
+    "source_load", "step_sequence", "sum_customers", "switch_downstream", "switch_totals", "voltage_profile", "zone_graph", "zone_labels", "zone_paths",
 ]

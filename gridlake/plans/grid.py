@@ -98,26 +98,38 @@ def layers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {name: run(name) for name in GRID}
 
 
-def grid(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Layers plus the written edges, sources and node customers."""
+class Parts(dict):
+    """Layers plus written intermediates, each made when it is first asked for."""
 
-    def build() -> dict[str, DataFrame]:
-        lay = layers(spark, sf)
-        base = net.build_edges(lay["SSDMT"], lay["UNSEMT"])
-        edges = materialise(net.add_ties(base, lay["INTERLIGACOES"], lay["CTMT"]), "grid-edges")
-        customers = materialise(net.customers_per_node(edges, lay["UNTRMT"], lay["UCBT_tab"], lay["UCMT_tab"]), "grid-customers")
-        return {**lay, "edges": edges, "sources": materialise(net.feeder_sources(lay["CTMT"], edges), "grid-sources"), "customers": customers}
+    def __init__(self, made: dict, makers: dict):
+        super().__init__(made)
+        self.makers = makers
 
-    return once(spark, sf, "grid", build)
+    def __missing__(self, name: str):
+        self[name] = self.makers[name](self)
+        return self[name]
 
 
-def zones(spark: SparkSession, sf: str) -> tuple[rst.ZoneGraph, rst.Isolation]:
-    def build():
-        g = grid(spark, sf)
-        graph = rst.zone_graph(g["edges"], g["sources"], g["customers"])
-        return graph, rst.isolate_zones(graph)
+def grid(spark: SparkSession, sf: str) -> Parts:
+    """Layers plus the written edges, sources, node customers and zones."""
+
+    def edges(g: Parts) -> DataFrame:
+        return materialise(net.add_ties(net.build_edges(g["SSDMT"], g["UNSEMT"]), g["INTERLIGACOES"], g["CTMT"]), "grid-edges")
+
+    makers = {
+        "edges": edges,
+        "sources": lambda g: materialise(net.feeder_sources(g["CTMT"], g["edges"]), "grid-sources"),
+        "customers": lambda g: materialise(net.customers_per_node(g["edges"], g["UNTRMT"], g["UCBT_tab"], g["UCMT_tab"]), "grid-customers"),
+        "labels": lambda g: rst.zone_labels(g["edges"]),
+        "graph": lambda g: rst.zone_graph(g["edges"], g["sources"], g["customers"], g["labels"]),
+        "isolation": lambda g: rst.isolate_zones(g["graph"]),
+    }
+    return once(spark, sf, "grid", lambda: Parts(layers(spark, sf), makers))
+
 
-    return once(spark, sf, "zones", build)
+def zones(spark: SparkSession, sf: str) -> tuple[rst.ZoneGraph, rst.Isolation]:
+    g = grid(spark, sf)
+    return g["graph"], g["isolation"]
 
 
 def options(spark: SparkSession, sf: str) -> DataFrame:
@@ -342,7 +354,7 @@ def energised(spark: SparkSession, sf: str) -> DataFrame:
 @query("zones", with_grid(_EDGES + "," + _FED + "," + _ZONES + "SELECT n AS node, z AS zone FROM zone", *_NETWORK))
 def zones_query(spark: SparkSession, sf: str) -> DataFrame:
     """N9."""
-    return zones(spark, sf)[0].zones.select("node", "zone")
+    return grid(spark, sf)["labels"].select("node", "zone")
 
 
 @query(
@@ -385,12 +397,13 @@ def restoration(spark: SparkSession, sf: str) -> DataFrame:
     return options(spark, sf).drop("tip_unid", "externa", "trafos", "kva")
 
 
-def option_zones(spark: SparkSession, sf: str) -> DataFrame:
-    """Zones each option recovers; the zone stands for its nodes, whose totals are already summed."""
-    graph, iso = zones(spark, sf)
-    return rst.recovered_components(graph, iso).join(iso.lost, ["cut", "component"]).select(
-        F.col("cut").alias("zone"), F.col("gate").alias("chave"), F.col("lost").alias("node")
-    )
+def _piece(cut: str = "cut"):
+    return F.concat(F.col(cut), F.lit("|"), F.col("component")).alias("node")
+
+
+def option_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces each option recovers; a piece stands for its nodes, whose totals are already summed."""
+    return rst.recovered_components(*zones(spark, sf)).select(F.col("cut").alias("zone"), F.col("gate").alias("chave"), _piece())
 
 
 @query(
@@ -420,12 +433,11 @@ def impact_query(spark: SparkSession, sf: str) -> DataFrame:
     """Region by customers only."""
     g = grid(spark, sf)
     lost = rst.isolation_table(*zones(spark, sf)).select("zone", (F.col("desligados_ucbt") + F.col("desligados_ucmt")).alias("desligados"))
-    place = zones(spark, sf)[0].zones
-    regions = impact.node_regions(g["UNTRMT"], g["UCBT_tab"], g["UCMT_tab"]).join(place, "node").groupBy(
-        F.col("zone").alias("node"), "region"
-    ).agg(F.sum("n").alias("n"))
+    graph, isolation = zones(spark, sf)
+    regions = impact.node_regions(g["UNTRMT"], g["UCBT_tab"], g["UCMT_tab"]).join(graph.zones, "node").select(F.col("zone").alias("node"), "region", "n")
+    pieces = rst.piece_regions(graph, isolation, regions).select(_piece(), "region", "n")
     return impact.option_impact(
-        options(spark, sf), option_zones(spark, sf), lost, regions=regions,
+        options(spark, sf), option_pieces(spark, sf), lost, regions=pieces,
         totals=impact.region_totals(g["UCBT_tab"], g["UCMT_tab"]),
     ).drop("tempo_reparo_min", "tempo_manobra_min", "dec_minutos", "region_name")
 
@@ -446,10 +458,7 @@ SELECT gate, count(*) AS zonas, CAST(sum(nn) AS BIGINT) AS nos, CAST(sum(bt + mt
 )
 def downstream(spark: SparkSession, sf: str) -> DataFrame:
     """What each closed switch holds up."""
-    graph, _ = zones(spark, sf)
-    return rst.switch_downstream(graph).join(graph.customers.withColumnRenamed("zone", "lost"), "lost").groupBy("gate").agg(
-        F.count(F.lit(1)).alias("zonas"), F.sum("n_nodes").alias("nos"), (F.sum("ucbt") + F.sum("ucmt")).alias("clientes")
-    )
+    return rst.switch_totals(grid(spark, sf)["graph"]).select("gate", "zonas", F.col("n_nodes").alias("nos"), (F.col("ucbt") + F.col("ucmt")).alias("clientes"))
 
 
 _PATH = """
@@ -473,7 +482,7 @@ SELECT p.z AS zone, p.f AS fonte, p.gates[1] AS religador, array_to_string(p.gat
 )
 def fault_footprint(spark: SparkSession, sf: str) -> DataFrame:
     """Everything past the breaker goes dark while it is open."""
-    return once(spark, sf, "footprint", lambda: materialise(rst.fault_footprint(zones(spark, sf)[0]), "grid-footprint"))
+    return once(spark, sf, "footprint", lambda: materialise(rst.fault_footprint(grid(spark, sf)["graph"]), "grid-footprint"))
 
 
 @query(
@@ -524,7 +533,7 @@ SELECT x.n AS node, count(*) AS n FROM fed x JOIN fed y ON y.f = x.f WHERE NOT E
 def node_downstream(spark: SparkSession, sf: str) -> DataFrame:
     """How many nodes hang on each node."""
     g = grid(spark, sf)
-    return rst.node_downstream(g["edges"], g["sources"]).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return rst.node_totals(g["edges"], g["sources"])
 
 
 @query(

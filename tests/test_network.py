@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from gridlake.operators import network as net
 from gridlake.operators import restoration as rst
 from gridlake.operators.impact import feeder_region, node_asset_regions, node_regions, option_impact, region_totals
-from gridlake.operators.traverse import breadth_first
+from gridlake.operators.forest import breadth_first
 from gridlake.session import materialise
 
 
@@ -117,7 +117,7 @@ def test_isolation(grid, zones, zone_of):
     members = {r.node: r.zone for r in graph.zones.collect()}
     assert {n for n, z in members.items() if z == fault} == {"A1", "A2", "A3"}
     assert {r.zone: r.chaves for r in rst.isolation_table(graph, isolation).collect()}[fault] == "KA0;KA1"
-    lost = {r.lost for r in isolation.lost.where(F.col("cut") == fault).collect()}
+    lost = {r.lost for r in rst.lost_at(graph, isolation).where(F.col("cut") == fault).collect()}
     assert {n for n, z in members.items() if z in lost} == {"A4", "A5", "A6", "A7", "B7"}
 
 
@@ -127,7 +127,7 @@ def test_restoration_and_impact(catalog, grid, zones, zone_of):
     own = options.where(F.col("zone") == zone_of["SA1"]).orderBy("ordem").collect()
     assert [(r.chave, r.fonte, r.tlcd, r.ucbt, r.ucmt, r.clientes_fonte) for r in own] == [("KA2", "BE1", True, 4, 0, 2), ("KB2", "BE1", False, 4, 0, 2)]
     lost = rst.isolation_table(graph, isolation).select("zone", (F.col("desligados_ucbt") + F.col("desligados_ucmt")).alias("desligados"))
-    recovered = rst.recovered_components(graph, isolation).join(isolation.lost, ["cut", "component"]).join(
+    recovered = rst.recovered_components(graph, isolation).join(rst.lost_at(graph, isolation), ["cut", "component"]).join(
         graph.zones.withColumnRenamed("zone", "lost"), "lost"
     ).select(F.col("cut").alias("zone"), F.col("gate").alias("chave"), "node").distinct()
     layers = {k: catalog.read(k) for k in ("UNTRMT", "UCBT_tab", "UCMT_tab")}

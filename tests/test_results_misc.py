@@ -11,7 +11,6 @@ from gridlake.functions import columns as col
 from gridlake.functions.ordered import exact_percentile, global_rank, previous_row, rank_in_group
 from gridlake.operators import audit, load, results, sample
 from gridlake.operators.components import connected_components
-from gridlake.operators.traverse import ancestor_table, breadth_first, edge_cuts, vertex_cuts
 from gridlake.sources.logs import append_events, event_ids, events_since, read_audit
 from gridlake.sources.runs import newest_per_label, read_runs
 from gridlake.streaming import jobs
@@ -37,46 +36,6 @@ def test_percentile_and_ranks(spark):
         assert all(before[b] == a for a, b in zip([None, *ids], ids))
 
 
-def brute_cuts(edges, roots, nodes, drop_node=None, drop_edge=None):
-    seen, stack = set(r for r in roots if r != drop_node), [r for r in roots if r != drop_node]
-    while stack:
-        a = stack.pop()
-        for e, (u, v) in edges.items():
-            if e == drop_edge or drop_node in (u, v):
-                continue
-            for x, y in ((u, v), (v, u)):
-                if x == a and y not in seen:
-                    seen.add(y)
-                    stack.append(y)
-    return seen
-
-
-def test_cuts_against_brute_force(spark):
-    rng = random.Random(11)
-    nodes = [f"n{i}" for i in range(26)]
-    edges = {f"e{i}": tuple(sorted((nodes[i], nodes[rng.randrange(i)]))) for i in range(1, 24)}
-    for j in range(6):
-        edges[f"x{j}"] = tuple(sorted(rng.sample(nodes[:24], 2)))
-    edges["dup"] = edges["e5"]
-    roots = ["n0", "n9"]
-    df = spark.createDataFrame([(e, u, v) for e, (u, v) in edges.items()], "edge_id string, src string, dst string")
-    seeds = spark.createDataFrame([(r, r, r) for r in roots], "node string, source string, ord string")
-    forest = breadth_first(df, seeds)
-    base = brute_cuts(edges, roots, nodes)
-    assert {r.node for r in forest.collect()} == base
-    above = ancestor_table(forest)
-    lost = {}
-    for r in vertex_cuts(df, forest, above).collect():
-        lost.setdefault(r.cut, set()).add(r.lost)
-    for z in base:
-        assert lost.get(z, set()) == base - brute_cuts(edges, roots, nodes, drop_node=z) - {z}, z
-    gone = {}
-    for r in edge_cuts(df, forest, above).collect():
-        gone.setdefault(r.edge_id, set()).add(r.lost)
-    for e in edges:
-        assert gone.get(e, set()) == base - brute_cuts(edges, roots, nodes, drop_edge=e), e
-
-
 def test_components_of_chains_and_hubs(spark):
     pairs = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)] + [("hub", f"h{i}") for i in range(40)]
     labels = connected_components(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([("solo",)], "node string"))
