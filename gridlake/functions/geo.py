@@ -1,20 +1,19 @@
 """Geometry as plain columns.
 
-WKB bytes are decoded once, in Arrow batches, into doubles and an array of edges; every later test
+WKB bytes are decoded once, in whole Arrow batches, into doubles and an array of edges; every later test
 (distance, containment, intersection, extent) is a JVM expression over those columns.
 """
 
 from __future__ import annotations
 
 import math
-import struct
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
+    BinaryType,
     BooleanType,
     DoubleType,
     IntegerType,
@@ -23,6 +22,8 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from gridlake.functions.wkb import decode, encode_boxes, encode_lines, encode_points
+
 EDGE = StructType([StructField(n, DoubleType()) for n in ("x1", "y1", "x2", "y2")])
 SHAPE = StructType(
     [
@@ -39,111 +40,11 @@ SHAPE = StructType(
         StructField("edges", ArrayType(EDGE)),
     ]
 )
-KINDS = {
-    1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString",
-    6: "MultiPolygon", 7: "GeometryCollection",
-}
-
-
-class _Reader:
-    """Cursor over one WKB value (ISO and extended headers, both byte orders)."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-        self.lines: list[np.ndarray] = []
-        self.rings: list[np.ndarray] = []
-        self.points: list[np.ndarray] = []
-
-    def take(self, order: str, code: str):
-        size = struct.calcsize(code)
-        value = struct.unpack_from(order + code, self.data, self.at)[0]
-        self.at += size
-        return value
-
-    def vertices(self, order: str, count: int, dims: int) -> np.ndarray:
-        flat = np.frombuffer(self.data, dtype=order + "f8", count=count * dims, offset=self.at)
-        self.at += count * dims * 8
-        return flat.reshape(count, dims)[:, :2]
-
-    def shape(self) -> int:
-        order = "<" if self.data[self.at] == 1 else ">"
-        self.at += 1
-        raw = self.take(order, "I")
-        has_srid = bool(raw & 0x20000000)
-        dims = 2 + bool(raw & 0x80000000) + bool(raw & 0x40000000)
-        raw &= 0x0FFFFFFF
-        dims += {0: 0, 1: 1, 2: 1, 3: 2}[raw // 1000]
-        kind = raw % 1000
-        if has_srid:
-            self.take(order, "I")
-        if kind == 1:
-            self.points.append(self.vertices(order, 1, dims))
-        elif kind == 2:
-            self.lines.append(self.vertices(order, self.take(order, "I"), dims))
-        elif kind == 3:
-            for _ in range(self.take(order, "I")):
-                self.rings.append(self.vertices(order, self.take(order, "I"), dims))
-        else:
-            for _ in range(self.take(order, "I")):
-                self.shape()
-        return kind
-
-
-def _edge_list(chain: np.ndarray) -> list[tuple]:
-    if len(chain) < 2:
-        return []
-    return [tuple(row) for row in np.hstack([chain[:-1], chain[1:]]).tolist()]
-
-
-def _decode_one(data: bytes | None) -> tuple:
-    if data is None:
-        return (None, True, False, False, 0, None, None, None, None, None, None)
-    reader = _Reader(bytes(data))
-    try:
-        kind = KINDS.get(reader.shape(), "Unknown")
-    except (struct.error, ValueError, IndexError, KeyError):
-        return ("Unknown", False, False, True, 0, None, None, None, None, None, None)
-    chains = reader.points + reader.lines + reader.rings
-    every = np.concatenate(chains) if chains else np.empty((0, 2))
-    every = every[~np.isnan(every).any(axis=1)]
-    if len(every) == 0:
-        return (kind, False, True, False, 0, None, None, None, None, None, None)
-    broken = any(len(c) < 2 or (c == c[0]).all() for c in reader.lines) or any(
-        len(c) < 4 or not np.array_equal(c[0], c[-1]) for c in reader.rings
-    )
-    low, high = every.min(axis=0), every.max(axis=0)
-    ends = [(*map(float, c[0]), *map(float, c[-1])) for c in reader.points + reader.lines if len(c)]
-    edges = [e for c in reader.lines + reader.rings for e in _edge_list(c)]
-    return (
-        kind, False, False, bool(broken), len(every),
-        float(low[0]), float(low[1]), float(high[0]), float(high[1]), ends, edges,
-    )
-
-
-def _decode_points(values: pd.Series) -> pd.DataFrame | None:
-    """Vectorised path for a batch that holds only little-endian 2-D points."""
-    if values.isna().any() or not (values.map(len) == 21).all():
-        return None
-    raw = np.frombuffer(b"".join(map(bytes, values)), dtype=np.dtype([("h", "S5"), ("xy", "<f8", 2)]))
-    if not (raw["h"] == b"\x01\x01").all() or np.isnan(raw["xy"]).any():
-        return None
-    x, y = raw["xy"][:, 0], raw["xy"][:, 1]
-    return pd.DataFrame(
-        {
-            "kind": "Point", "is_null": False, "is_empty": False, "is_broken": False,
-            "n_points": np.ones(len(x), dtype="int32"), "minx": x, "miny": y, "maxx": x, "maxy": y,
-            "parts": [[(a, b, a, b)] for a, b in zip(x.tolist(), y.tolist())],
-            "edges": [[] for _ in range(len(x))],
-        }
-    )
 
 
-@F.pandas_udf(SHAPE)
-def _decode(values: pd.Series) -> pd.DataFrame:
-    fast = _decode_points(values) if len(values) else None
-    if fast is not None:
-        return fast
-    return pd.DataFrame([_decode_one(v) for v in values], columns=SHAPE.fieldNames())
+@F.arrow_udf(SHAPE)
+def _decode(values: pa.Array) -> pa.Array:
+    return decode(values)
 
 
 def with_shape(df: DataFrame, geometry: str = "geometry", out: str = "shape") -> DataFrame:
@@ -154,6 +55,24 @@ def with_shape(df: DataFrame, geometry: str = "geometry", out: str = "shape") ->
     return df.withColumn(out, _decode(F.col(geometry)))
 
 
+@F.arrow_udf(BinaryType())
+def point_bytes(x: pa.Array, y: pa.Array) -> pa.Array:
+    """WKB of points."""
+    return encode_points(x, y)
+
+
+@F.arrow_udf(BinaryType())
+def line_bytes(x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+    """WKB of straight multi-lines."""
+    return encode_lines(x1, y1, x2, y2)
+
+
+@F.arrow_udf(BinaryType())
+def box_bytes(west: pa.Array, south: pa.Array, east: pa.Array, north: pa.Array) -> pa.Array:
+    """WKB of rectangular multi-polygons."""
+    return encode_boxes(west, south, east, north)
+
+
 def part_ends(df: DataFrame, shape: str = "shape") -> DataFrame:
     """Two rows per line part: the first vertex (``end`` = 1) and the last (``end`` = 2)."""
     exploded = df.withColumn("_part", F.explode(F.col(f"{shape}.parts")))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.columns import (
     ENERGY,
-    exact_sum,
     first_word,
     kilovolts,
     number,
@@ -17,8 +17,8 @@ from gridlake.functions.columns import (
     sum_of_present,
 )
 from gridlake.functions.geo import with_shape
-from gridlake.functions.keyed import first_per_key, mode_per_key
-from gridlake.operators.spatial import extent_per_key, lines_meeting_areas
+from gridlake.functions.keyed import first_per_key
+from gridlake.operators.spatial import lines_meeting_areas
 from gridlake.operators.ties import RADIUS_M, detect_ties, symmetric_counts
 from gridlake.sources.catalog import LayerCatalog, MissingLayer
 
@@ -39,6 +39,10 @@ COUNT_COLUMNS = [
 ]
 
 
+#: Sums go through decimals, so they do not depend on the order of partitions.
+EXACT = "decimal(28,6)"
+
+
 def effective_key(
     rows: DataFrame,
     mapping: DataFrame | None,
@@ -63,22 +67,34 @@ def transformer_map(transformers: DataFrame) -> DataFrame:
     return first_per_key(transformers.select("COD_ID", "CTMT"), ["COD_ID"], ["CTMT"])
 
 
+def _counted(rows: DataFrame, mapping: DataFrame | None, value: Column, count: str, total: str) -> DataFrame:
+    """CTMT, count, exact total per effective feeder and own transformer.
+
+    Rows are counted per (transformer, own feeder) first, so only those totals meet the transformers.
+    """
+    keys = [c for c in ("UNI_TR_MT", "CTMT") if c in rows.columns and (c == "CTMT" or mapping is not None)]
+    small = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), F.sum(value.cast(EXACT)).alias(total))
+    return effective_key(small, mapping).select(F.col("ctmt_efetivo").alias("CTMT"), count, total)
+
+
+def _kwh(rows: DataFrame, energy: Sequence[str] = tuple(ENERGY)) -> Column:
+    present = [F.col(c) for c in energy if c in rows.columns]
+    return sum_of_present(present) if present else F.lit(None).cast("double")
+
+
 def customers_by_feeder(
     customers: DataFrame, mapping: DataFrame | None, energy: Sequence[str] = tuple(ENERGY)
 ) -> DataFrame:
     """Customers and yearly kWh per effective feeder (A3)."""
-    present = [c for c in energy if c in customers.columns]
-    keyed = effective_key(customers, mapping)
-    kwh = sum_of_present([F.col(c) for c in present]) if present else F.lit(None).cast("double")
-    return keyed.groupBy(F.col("ctmt_efetivo").alias("CTMT")).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(exact_sum(kwh), F.lit(0.0)).alias("kwh")
+    return _counted(customers, mapping, _kwh(customers, energy), "n", "kwh").groupBy("CTMT").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum("kwh").cast("double"), F.lit(0.0)).alias("kwh")
     )
 
 
 def generators_by_feeder(generators: DataFrame, mapping: DataFrame | None) -> DataFrame:
     """Generators and installed kW per effective feeder (A4)."""
-    return effective_key(generators, mapping).groupBy(F.col("ctmt_efetivo").alias("CTMT")).agg(
-        F.count(F.lit(1)).alias("n"), exact_sum(F.col("POT_INST")).alias("kw")
+    return _counted(generators, mapping, F.col("POT_INST"), "n", "kw").groupBy("CTMT").agg(
+        F.sum("n").alias("n"), F.sum("kw").cast("double").alias("kw")
     )
 
 
@@ -114,7 +130,7 @@ def feeder_inventory(
     central_meridian: float = -45.0,
     area_cell: float = 0.01,
 ) -> DataFrame:
-    """The feeder inventory (A1): independent aggregates per layer, joined on the feeder.
+    """The feeder inventory (A1): one tagged union of all layers, one aggregate per feeder, one join with the feeders.
 
     ``CTMT`` and ``SSDMT`` are required, everything else is optional and counts zero when absent.
     ``area`` (area_id, edges, extent) keeps feeders with a segment touching it; ties are always
@@ -134,58 +150,53 @@ def feeder_inventory(
         ).select(F.col("CTMT").alias("COD_ID")).distinct()
         feeders = feeders.join(touched, "COD_ID", "left_semi")
 
-    lengths = (exact_sum(F.col("COMP")) / 1000.0).alias("km_MT")
-    network = extent_per_key(shaped, ["CTMT"], also=[lengths])
-
-    has_transformers = catalog.has("UNTRMT")
     transformers = catalog.table("UNTRMT", ["COD_ID", "CTMT", "POT_NOM", "MUN"])
     # transformers of feeders outside the selection do not take part in the effective key
     known = feeders.select(F.col("COD_ID").alias("CTMT"))
     transformers = transformers.join(known, "CTMT", "left_semi")
-    mapping = transformer_map(transformers) if has_transformers else None
-    kva = transformers.groupBy("CTMT").agg(
-        F.count(F.lit(1)).alias("n_UNTRMT"), exact_sum(F.col("POT_NOM")).alias("kVA_instalado")
-    )
-    town = mode_per_key(transformers, ["CTMT"], "MUN", out="_mun_t")
+    mapping = transformer_map(transformers) if catalog.has("UNTRMT") else None
 
     switches = catalog.table(
         "UNSEMT", ["COD_ID", "CTMT", "P_N_OPE", "TLCD", "TIP_UNID", "MUN", "geometry"]
     )
-    parts = [
-        network, kva, town, switch_counts(switches),
-        mode_per_key(switches, ["CTMT"], "MUN", out="_mun_s"),
-    ]
     if ties is None and catalog.has("UNSEMT"):
         substations = catalog.read("SUB", ["COD_ID"]) if catalog.has("SUB") else None
         ties = detect_ties(
             switches, segments, substations, radius_m=radius_m, central_meridian=central_meridian
         )
     tie_columns = COUNT_COLUMNS[8:14]
-    if ties is not None:
-        parts.append(symmetric_counts(ties))
 
-    wanted = ["COD_ID", "UNI_TR_MT", "CTMT", *ENERGY]
-    lv = customers_by_feeder(catalog.table("UCBT_tab", wanted), mapping)
-    mv = customers_by_feeder(catalog.table("UCMT_tab", ["COD_ID", "CTMT", *ENERGY]), None)
-    parts += [
-        lv.select("CTMT", F.col("n").alias("n_UCBT"), F.col("kwh").alias("_kwh_bt")),
-        mv.select("CTMT", F.col("n").alias("n_UCMT"), F.col("kwh").alias("_kwh_mt")),
-    ]
+    one = F.lit(1).cast("long")
     gen = ["COD_ID", "UNI_TR_MT", "CTMT", "POT_INST"]
-    glv = generators_by_feeder(catalog.table("UGBT_tab", gen), mapping)
-    gmv = generators_by_feeder(catalog.table("UGMT_tab", ["COD_ID", "CTMT", "POT_INST"]), None)
-    parts += [
-        glv.select("CTMT", F.col("n").alias("_g_bt"), F.col("kw").alias("_kw_bt")),
-        gmv.select("CTMT", F.col("n").alias("_g_mt"), F.col("kw").alias("_kw_mt")),
+    lv = catalog.table("UCBT_tab", ["COD_ID", "UNI_TR_MT", "CTMT", *ENERGY])
+    mv = catalog.table("UCMT_tab", ["COD_ID", "CTMT", *ENERGY])
+    parts = [
+        shaped.select("CTMT", F.col("COMP").cast(EXACT).alias("_m"), "minx", "miny", "maxx", "maxy"),
+        transformers.select("CTMT", one.alias("n_UNTRMT"), F.col("POT_NOM").cast(EXACT).alias("kVA_instalado"), F.col("MUN").alias("_mun_t")),
+        switches.select(
+            "CTMT", one.alias("chaves_total"), (F.col("P_N_OPE") == "A").cast("long").alias("chaves_NA"), (F.col("P_N_OPE") == "F").cast("long").alias("chaves_NF"),
+            (number(F.col("TLCD")) == 1).cast("long").alias("chaves_telecomandadas"), F.col("MUN").alias("_mun_s")),
+        _counted(lv, mapping, _kwh(lv), "n_UCBT", "_kwh_bt"),
+        mv.select("CTMT", one.alias("n_UCMT"), _kwh(mv).cast(EXACT).alias("_kwh_mt")),
+        _counted(catalog.table("UGBT_tab", gen), mapping, F.col("POT_INST"), "_g_bt", "_kw_bt"),
+        catalog.table("UGMT_tab", ["COD_ID", "CTMT", "POT_INST"]).select("CTMT", one.alias("_g_mt"), F.col("POT_INST").cast(EXACT).alias("_kw_mt")),
+        *[catalog.table(layer, ["COD_ID", "CTMT"]).select("CTMT", one.alias(f"n_{layer}")) for layer in ("UNREMT", "UNCRMT")],
     ]
-    for layer, column in (("UNREMT", "n_UNREMT"), ("UNCRMT", "n_UNCRMT")):
-        parts.append(
-            catalog.table(layer, ["COD_ID", "CTMT"]).groupBy("CTMT").agg(F.count(F.lit(1)).alias(column))
-        )
-
-    table = feeders
-    for part in parts:
-        table = table.join(part.withColumnRenamed("CTMT", "COD_ID"), "COD_ID", "left")
+    if ties is not None:
+        parts.append(symmetric_counts(ties))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).where(F.col("CTMT").isNotNull())
+    special = {"minx", "miny", "maxx", "maxy", "_mun_t", "_mun_s", "vizinhos", "CTMT"}
+    whole = [c for c in rows.columns if c not in special]
+    exact = {f.name for f in rows.schema.fields if f.dataType.typeName() == "decimal"}
+    table = rows.groupBy(F.col("CTMT").alias("COD_ID")).agg(
+        *[(F.sum(c).cast("double") if c in exact else F.sum(c)).alias(c) for c in whole],
+        *[round_to(how(side), 6).alias(name) for how, side, name in (
+            (F.min, "minx", "lon_min"), (F.min, "miny", "lat_min"), (F.max, "maxx", "lon_max"), (F.max, "maxy", "lat_max"))],
+        # commonest value, the smallest of several
+        *[F.mode(c, True).alias(c) for c in ("_mun_t", "_mun_s")],
+        *([F.max("vizinhos").alias("vizinhos")] if ties is not None else []),
+    ).withColumn("km_MT", F.col("_m") / 1000.0)
+    table = feeders.join(table, "COD_ID", "left")
     if catalog.has("SUB"):
         names = first_per_key(catalog.table("SUB", ["COD_ID", "NOME"]), ["COD_ID"], ["NOME"])
         table = table.join(

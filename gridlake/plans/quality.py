@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from gridlake.functions.columns import round_to
-from gridlake.functions.geo import with_shape
+from gridlake.functions.geo import line_bytes, with_shape
 from gridlake.operators import quality
 from gridlake.plans.assets import points
 from gridlake.plans.grid import layers, with_grid
@@ -128,13 +124,6 @@ def one_phase_groups(spark: SparkSession, sf: str) -> DataFrame:
     return quality.one_phase_transformers(rows(spark, sf).withColumnRenamed("pac", "UNI_TR_MT"), min_rows=10, share=0.7)
 
 
-@F.pandas_udf(BinaryType())
-def _line_bytes(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-    """Multi-line geometry bytes of one segment, empty when both ends meet."""
-    head = struct.pack("<BIIBII", 1, 5, 1, 1, 2, 2)
-    return pd.Series([head + struct.pack("<dddd", *v) for v in zip(x1, y1, x2, y2)])
-
-
 @query(
     "geometry_checks",
     """WITH p AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x1, CAST(embedding[2] AS DOUBLE) AS y1, CAST(embedding[3] AS DOUBLE) AS x2, CAST(embedding[4] AS DOUBLE) AS y2 FROM embeddings),
@@ -147,7 +136,7 @@ def geometry_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Geometry bytes are built from the vectors and decoded again."""
     p = points(spark, sf)
     broken = F.col("x") < -0.15
-    wkb = _line_bytes("x", "y", F.when(broken, F.col("x")).otherwise(F.col("x2")), F.when(broken, F.col("y")).otherwise(F.col("y2")))
+    wkb = line_bytes("x", "y", F.when(broken, F.col("x")).otherwise(F.col("x2")), F.when(broken, F.col("y")).otherwise(F.col("y2")))
     shaped = with_shape(p.select(F.col("label").alias("layer"), F.when(F.col("x") > 0.15, F.lit(None).cast("binary")).otherwise(wkb).alias("geometry")))
     return quality.geometry_checks(shaped.select("layer", "shape.*"), (-0.1, -0.1, 0.1, 0.1))
 
