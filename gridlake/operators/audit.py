@@ -59,7 +59,7 @@ def chain_links(records: DataFrame, *, hash_check: bool = True, genesis: str = G
     ).when(~F.col("hash_anterior").eqNullSafe(expected), F.concat(F.lit("seq="), F.col("seq").cast("string"), F.lit(": hash_anterior não bate com o registro anterior")))
     if hash_check:
         error = error.when(
-            record_hash() != F.col("hash"), F.concat(F.lit("seq="), F.col("seq").cast("string"), F.lit(": hash não bate (registro alterado)"))
+            ~record_hash().eqNullSafe(F.col("hash")), F.concat(F.lit("seq="), F.col("seq").cast("string"), F.lit(": hash não bate (registro alterado)"))
         )
     return joined.withColumn("error", error).drop("_before")
 

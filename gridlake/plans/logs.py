@@ -8,38 +8,39 @@ from pyspark.sql import functions as F
 from gridlake.functions.ordered import rank_in_group
 from gridlake.operators import audit
 from gridlake.plans.registry import query, table
-from gridlake.sources.logs import record_hash
+from gridlake.session import materialise
+from gridlake.sources.logs import chain_records, record_hash
 from gridlake.streaming import jobs
 
-_CHAIN = """e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
-      c AS (SELECT CAST(user_id AS VARCHAR) AS file, pos, CASE WHEN event_type = 'signup' AND value > 300 THEN pos + 1 ELSE pos END AS seq, event_type = 'error' AND value > 250 AS bad FROM e)"""
+_ALTERED, _FORGED, _REMOVED = "event_type = 'error' AND value > 150", "event_type = 'signup' AND value > 180", "event_type = 'purchase' AND value > 200"
 
 
 def chain(spark: SparkSession, sf: str) -> DataFrame:
-    """One log per user; big sign-ups skip a number, big errors carry a wrong previous hash."""
+    """One written log per user, then tampered with: some records altered, some forged with a hash of their own, some removed."""
     placed = rank_in_group(table(spark, sf, "events"), ["user_id"], ["event_id"], "pos")
-    before = placed.select("user_id", (F.col("pos") + 1).alias("pos"), F.col("event_id").alias("prev"))
-    rows = placed.join(before, ["user_id", "pos"], "left")
-    previous = F.when(F.col("pos") == 1, F.lit(audit.GENESIS)).otherwise(F.sha2(F.col("prev").cast("string"), 256))
-    return rows.select(
-        F.col("user_id").cast("string").alias("file"), F.col("pos").alias("line"), "pos",
-        F.when((F.col("event_type") == "signup") & (F.col("value") > 300), F.col("pos") + 1).otherwise(F.col("pos")).alias("seq"),
-        F.col("ts").cast("string").alias("ts"), F.col("event_type").alias("tipo"), F.col("props").alias("dados"),
-        F.when((F.col("event_type") == "error") & (F.col("value") > 250), F.lit("x")).otherwise(previous).alias("hash_anterior"),
-        F.sha2(F.col("event_id").cast("string"), 256).alias("hash"), F.lit(None).cast("string").alias("problem"),
-    )
+    written = materialise(chain_records(placed.select(
+        F.col("user_id").cast("string").alias("file"), "pos", F.col("ts").cast("string").alias("ts"), F.col("event_type").alias("tipo"), F.col("props").alias("dados"),
+        F.expr(_ALTERED).alias("altered"), F.expr(_FORGED).alias("forged"), F.expr(_REMOVED).alias("removed")), audit.GENESIS), "log")
+    changed = written.withColumn("dados", F.when(F.col("altered") | F.col("forged"), F.lit('{"k": -1}')).otherwise(F.col("dados")))
+    changed = changed.withColumn("hash", F.when(F.col("forged"), record_hash()).otherwise(F.col("hash"))).where(~F.col("removed"))
+    lines = rank_in_group(changed.drop("pos"), ["file"], ["seq"], "pos")
+    return lines.select("file", F.col("pos").alias("line"), "pos", "seq", "ts", "tipo", "dados", "hash_anterior", "hash", F.lit(None).cast("string").alias("problem"))
 
 
 @query(
     "chain_check",
-    f"""WITH {_CHAIN}, x AS (SELECT file, count(*) AS n, min(pos) FILTER (seq <> pos OR bad) AS p FROM c GROUP BY 1)
+    f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+      k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM e WHERE NOT ({_REMOVED})),
+      c AS (SELECT CAST(user_id AS VARCHAR) AS file, seq, pos, {_ALTERED} AS altered, coalesce(lag({_FORGED}) OVER (PARTITION BY user_id ORDER BY pos), false) AS after_forged FROM k),
+      x AS (SELECT file, count(*) AS n, min(pos) FILTER (seq <> pos OR altered OR after_forged) AS p FROM c GROUP BY 1)
     SELECT x.file, p IS NULL AS integra, CASE WHEN p IS NULL THEN n END AS registros,
-      CASE WHEN c.seq <> c.pos THEN concat('sequência quebrada: esperado seq=', c.pos, ', encontrado ', c.seq) WHEN bad THEN concat('seq=', c.seq, ': hash_anterior não bate com o registro anterior') END AS erro
+      CASE WHEN p IS NULL THEN NULL WHEN c.seq <> c.pos THEN concat('sequência quebrada: esperado seq=', c.pos, ', encontrado ', c.seq) WHEN after_forged THEN concat('seq=', c.seq, ': hash_anterior não bate com o registro anterior')
+        ELSE concat('seq=', c.seq, ': hash não bate (registro alterado)') END AS erro
     FROM x LEFT JOIN c ON c.file = x.file AND c.pos = x.p""",
 )
 def chain_check(spark: SparkSession, sf: str) -> DataFrame:
-    """W8, L12."""
-    return audit.verify_files(chain(spark, sf), hash_check=False)
+    """Written, tampered with and verified with each record's own hash."""
+    return audit.verify_files(chain(spark, sf))
 
 
 @query(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from gridlake.functions.canonical import canonical_json, json_text
 from gridlake.functions.ordered import rank_in_group
 
 AUDIT_SCHEMA = StructType(
@@ -52,24 +53,44 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("file", "line", "pos", *[F.col(f"_r.{f}").alias(f) for f in fields], problem.alias("problem"))
 
 
-@F.pandas_udf(StringType())
-def _canonical_body(seq: pd.Series, ts: pd.Series, kind: pd.Series, data: pd.Series, previous: pd.Series) -> pd.Series:
-    """Key-sorted compact JSON of a record without its hash, as the writer serialises it."""
+def record_body(seq="seq", ts="ts", kind="tipo", data="dados") -> tuple[Column, Column]:
+    """Canonical text of a record without its hash, before and behind the previous hash."""
+    head = F.concat(F.lit('{"dados":'), canonical_json(F.col(data)), F.lit(',"hash_anterior":'))
+    tail = F.concat(F.lit(',"seq":'), F.col(seq).cast("string"), F.lit(',"tipo":'), json_text(F.col(kind)), F.lit(',"ts":'), json_text(F.col(ts)), F.lit("}"))
+    return head, tail
 
-    def one(s, t, k, d, p):
-        if d is None:
-            return None
-        body = {"seq": int(s), "ts": t, "tipo": k, "dados": json.loads(d), "hash_anterior": p}
-        return json.dumps(body, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
-    return pd.Series([one(*row) for row in zip(seq, ts, kind, data, previous)])
+def record_hash(seq="seq", ts="ts", kind="tipo", data="dados", previous="hash_anterior") -> Column:
+    """SHA-256 of the canonical record (F14), wholly in the JVM; null where ``data`` is no JSON."""
+    head, tail = record_body(seq, ts, kind, data)
+    return F.sha2(F.concat(head, json_text(F.col(previous)), tail), 256)
 
 
-def record_hash(seq="seq", ts="ts", kind="tipo", data="dados", previous="hash_anterior"):
-    """SHA-256 of the canonical record (F14): only the key sorting is Python, the digest is JVM."""
-    return F.sha2(
-        _canonical_body(F.col(seq), F.col(ts), F.col(kind), F.col(data), F.col(previous)), 256
-    )
+def chain_records(rows: DataFrame, genesis: str) -> DataFrame:
+    """Rows (file, pos, ts, tipo, dados) as a written log: adds ``seq``, ``hash_anterior`` and ``hash`` (the append side of W8).
+
+    Each hash needs the one before it, so a file is followed record by record; records stream past in order and only
+    the last hash is held. Texts are canonical before they get there.
+    """
+    head, tail = record_body(seq="pos")
+    texts = rows.select("file", "pos", head.alias("_head"), tail.alias("_tail"))
+    ordered = texts.repartition(F.col("file")).sortWithinPartitions("file", "pos")
+
+    def follow(batches):
+        file, last = None, genesis
+        for batch in batches:
+            before, own = [], []
+            for name, start, end in zip(batch["file"], batch["_head"], batch["_tail"], strict=True):
+                if name != file:
+                    file, last = name, genesis
+                before.append(last)
+                last = hashlib.sha256(f'{start}"{last}"{end}'.encode()).hexdigest()
+                own.append(last)
+            yield pd.DataFrame({"file": batch["file"], "pos": batch["pos"], "hash_anterior": before, "hash": own})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    hashed = ordered.mapInPandas(follow, f"file {kinds['file']}, pos {kinds['pos']}, hash_anterior string, hash string")
+    return rows.withColumn("seq", F.col("pos").cast("long")).join(hashed, ["file", "pos"])
 
 
 def event_ids(json_text):
