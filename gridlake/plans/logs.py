@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.functions.ordered import rank_in_group
 from gridlake.operators import audit
+from gridlake.plans.grid import _EDGES, grid, with_grid
 from gridlake.plans.registry import query, table
-from gridlake.session import materialise
+from gridlake.session import app_scratch, materialise
 from gridlake.sources.logs import chain_records, record_hash
 from gridlake.streaming import jobs
 
@@ -80,41 +83,89 @@ def event_timeline(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "events").schema
-    # a pattern, so that the dataset may be one file or a folder of files
-    return jobs.stream_files(spark, f"{sf}/event[s].parquet", schema, "parquet")
+def _sent(spark: SparkSession, rows: list[DataFrame], name: str) -> DataFrame:
+    """A stream over a folder that gets one file after the other, one per batch."""
+    folder = f"{app_scratch(spark)}/sent-{name}-{uuid.uuid4().hex}"
+    for part in rows:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return jobs.stream_files(spark, folder, rows[0].schema, "parquet", files_per_batch=1)
+
+
+def _thirds(events: DataFrame) -> list[DataFrame]:
+    return [events.where(F.col("event_id") % 3 == k) for k in range(3)]
 
 
 @query("incremental_events", "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS total FROM events GROUP BY 1")
 def incremental_events(spark: SparkSession, sf: str) -> DataFrame:
-    """ST1, S11: the queue is consumed to a table, then summarised."""
+    """ST1, S11: three files, the later ones repeat events of the earlier ones, and a restart after the second."""
+    first, second, third = _thirds(table(spark, sf, "events"))
+    parts = [first, second.unionByName(first.where("user_id % 5 = 0")), third.unionByName(first).unionByName(second.where("event_type = 'view'"))]
     sink, checkpoint = jobs.stream_paths(spark, "events")
-    jobs.run_to_end(jobs.consume_events(_stream(spark, sf), sink, checkpoint))
+    folder = f"{app_scratch(spark)}/sent-events-{uuid.uuid4().hex}"
+    for files in (parts[:2], parts[2:]):
+        for part in files:
+            part.coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.stream_files(spark, folder, first.schema, "parquet", files_per_batch=1)
+        jobs.run_to_end(jobs.consume_events(stream, sink, checkpoint, key="event_id"))
     return spark.read.parquet(sink).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(28,6)")).cast("double").alias("total"))
 
 
 @query("latest_state_stream", "SELECT user_id AS switch_id, arg_max(event_type, event_id) AS action, max(event_id) AS step FROM events GROUP BY 1")
 def latest_state_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """ST2."""
+    """ST2: the latest value per key from three batches."""
     sink, checkpoint = jobs.stream_paths(spark, "states")
-    steps = _stream(spark, sf).select(F.col("user_id").alias("switch_id"), F.col("event_id").alias("step"), F.col("event_type").alias("action"))
+    steps = _sent(spark, _thirds(table(spark, sf, "events")), "states").select(F.col("user_id").alias("switch_id"), F.col("event_id").alias("step"), F.col("event_type").alias("action"))
     jobs.run_to_end(jobs.latest_states(steps, sink, checkpoint))
     return jobs.read_states(spark, sink)
 
 
+_MOVED = "concat('K', user_id)"
+_ACTION = "CASE WHEN event_type IN ('error', 'purchase') THEN 'abrir' ELSE 'fechar' END"
+
+
+@query(
+    "supply_stream",
+    with_grid(
+        _EDGES
+        + f""",
+  st AS (SELECT {_MOVED} AS k, arg_max({_ACTION}, event_id) AS action FROM events GROUP BY 1),
+  now_ AS (SELECT e.u, e.v, coalesce(st.action = 'abrir', e.open) AS open FROM edge e LEFT JOIN st ON st.k = e.gate),
+  nb AS (SELECT u AS a, v AS b FROM now_ WHERE NOT open UNION ALL SELECT v, u FROM now_ WHERE NOT open),
+  fd(n, f) AS (SELECT n, f FROM src UNION SELECT nb.b, fd.f FROM fd JOIN nb ON nb.a = fd.n)
+SELECT node.n AS node, fd.f AS fed_by FROM node LEFT JOIN fd ON fd.n = node.n
+""",
+        "CTMT", "SSDMT", "UNSEMT", "INTERLIGACOES",
+    ),
+)
+def supply_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """ST2, N5: every event moves a switch of the grid; supply is kept up to date over three batches that arrive out of order."""
+    g = grid(spark, sf)
+    first, second, third = _thirds(table(spark, sf, "events"))
+    steps = _sent(spark, [third, first, second], "steps").select(F.expr(_MOVED).alias("switch_id"), F.col("event_id").alias("step"), F.expr(_ACTION).alias("action"))
+    sink, checkpoint = jobs.stream_paths(spark, "supply")
+    jobs.run_to_end(jobs.follow_supply(steps, g["edges"], g["sources"], sink, checkpoint))
+    return jobs.supply_tables(spark, sink)[1].latest().select("node", "fed_by")
+
+
 @query(
     "chain_stream",
-    """SELECT event_id + 1 AS seq, 'hash_anterior não bate' AS motivo FROM events WHERE event_type = 'error' AND value > 100""",
+    """SELECT event_id + 1 AS seq, 'hash_anterior não bate' AS motivo FROM events WHERE event_type = 'error' AND value > 100
+    UNION ALL SELECT event_id + 1, 'sequência repetida' FROM events WHERE event_type = 'view' AND value > 120 AND event_id % 3 <> 2""",
 )
 def chain_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """ST3: one long log followed record by record; errors of a large value break the chain."""
-    sink, checkpoint = jobs.stream_paths(spark, "chain")
+    """ST3: one long log in three files that interleave, so most records wait for others; errors of a large value break
+    the chain, the last file forges records again that came before and repeats others as they are."""
     previous = F.when(F.col("event_id") == 0, F.lit(audit.GENESIS)).otherwise(F.sha2((F.col("event_id") - 1).cast("string"), 256))
-    records = _stream(spark, sf).select(
-        F.lit("log").alias("file"), (F.col("event_id") + 1).alias("seq"),
-        F.when((F.col("event_type") == "error") & (F.col("value") > 100), F.lit("x")).otherwise(previous).alias("hash_anterior"),
-        F.sha2(F.col("event_id").cast("string"), 256).alias("hash"),
-    )
-    jobs.run_to_end(jobs.follow_chain(records, sink, checkpoint))
-    return spark.read.parquet(f"{sink}/divergences").select("seq", "motivo")
+    first, second, third = _thirds(table(spark, sf, "events"))
+    forged = first.unionByName(second).where("event_type = 'view' AND value > 120")
+
+    def records(events: DataFrame, own) -> DataFrame:
+        wrong = (F.col("event_type") == "error") & (F.col("value") > 100)
+        return events.select(
+            F.lit("log").alias("file"), (F.col("event_id") + 1).alias("seq"), F.when(wrong, F.lit("x")).otherwise(previous).alias("hash_anterior"), own.alias("hash"))
+
+    real = F.sha2(F.col("event_id").cast("string"), 256)
+    files = [records(second, real), records(first, real), records(third, real).unionByName(records(forged, F.lit("0"))).unionByName(records(second.where("user_id % 4 = 0"), real))]
+    sink, checkpoint = jobs.stream_paths(spark, "chain")
+    jobs.run_to_end(jobs.follow_chain(_sent(spark, files, "chain"), sink, checkpoint))
+    return jobs.chain_divergences(spark, sink).select("seq", "motivo")

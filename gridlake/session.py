@@ -65,15 +65,31 @@ def app_scratch(spark: SparkSession) -> str:
     return f"{scratch_dir(spark)}/gridlake-{spark.sparkContext.applicationId}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _located(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _located(spark, path)
+    return system.exists(target)
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    system, target = _located(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(target)] if system.exists(target) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    system, target = _located(spark, path)
+    system.delete(target, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete everything this application wrote to the scratch area; call it when results are saved."""
-    _delete(spark, app_scratch(spark))
+    delete_path(spark, app_scratch(spark))
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -91,4 +107,4 @@ def discard(df: DataFrame | None) -> None:
     path = getattr(df, "_gridlake_path", None)
     if path is None:
         return
-    _delete(df.sparkSession, path)
+    delete_path(df.sparkSession, path)

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import json
 import random
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -11,6 +12,8 @@ from gridlake.functions import columns as col
 from gridlake.functions.ordered import exact_percentile, global_rank, previous_row, rank_in_group
 from gridlake.operators import audit, load, results, sample
 from gridlake.operators.components import connected_components
+from gridlake.operators.network import energised
+from gridlake.session import materialise
 from gridlake.sources.logs import append_events, event_ids, events_since, read_audit
 from gridlake.sources.runs import newest_per_label, read_runs
 from gridlake.streaming import jobs
@@ -210,8 +213,60 @@ def test_event_queue_and_streams(spark, tmp_path):
     jobs.run_to_end(jobs.follow_chain(read(), out, cp))
     spark.createDataFrame([("f", 3, "h2", "h3"), ("f", 5, "h4", "h5"), ("g", 1, "x", "y"), ("f", 2, "h1", "h2b")], schema).write.mode("append").parquet(log)
     jobs.run_to_end(jobs.follow_chain(read(), out, cp))
-    found = {(r.file, r.seq): r.motivo for r in spark.read.parquet(f"{out}/divergences").collect()}
-    assert found[("f", 5)] == "sequência quebrada" and found[("g", 1)] == "hash_anterior não bate" and ("f", 3) not in found
+    found = {(r.file, r.seq): r.motivo for r in jobs.chain_divergences(spark, out).collect()}
+    assert found == {("f", 5): "sequência quebrada", ("g", 1): "hash_anterior não bate", ("f", 2): "sequência repetida"}
+    # the missing record comes late, with a repeat of what was accepted and a forgery of what waited
+    spark.createDataFrame([("f", 4, "h3", "h4"), ("f", 1, "0" * 64, "h1"), ("f", 5, "h4", "zz"), ("f", 6, "h5", "h6")], schema).write.mode("append").parquet(log)
+    jobs.run_to_end(jobs.follow_chain(read(), out, cp))
+    found = sorted((r.file, r.seq, r.motivo) for r in jobs.chain_divergences(spark, out).collect())
+    assert found == [("f", 2, "sequência repetida"), ("f", 5, "sequência repetida"), ("g", 1, "hash_anterior não bate")]
+
+
+def test_events_once(spark, tmp_path):
+    """Repeats in a file, across files and after a restart; with and without an end of memory."""
+    schema = "id string, hora string, tipo string"
+    for name, keep in (("ever", None), ("hours", timedelta(hours=5))):
+        queue, sink, cp = (str(tmp_path / f"{name}-{x}") for x in ("queue", "sink", "cp"))
+        for rows in ([("E-1", "2", "a"), ("E-1", "2", "a"), ("E-2", "9", "b"), (None, "1", "x")], [("E-2", "9", "b"), ("E-0", "0", "late"), (None, "1", "x"), (None, "1", "y")]):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(queue)
+            stream = jobs.stream_files(spark, queue, spark.createDataFrame([], schema).schema, files_per_batch=1)
+            jobs.run_to_end(jobs.consume_events(stream, sink, cp, keep=keep))
+        got = sorted((r.id or "", r.tipo) for r in spark.read.parquet(sink).collect())
+        assert got == [("", "x"), ("", "y"), ("E-0", "late"), ("E-1", "a"), ("E-2", "b")]
+
+
+def test_supply_follows_steps(spark, tmp_path):
+    """After each batch the supply equals a full search; positions are made whole again on the way."""
+    n = 12
+    edges = [(f"e{i}", "trecho" if i % 2 else "chave", f"n{i:02d}", f"n{i + 1:02d}", False) for i in range(n)] + [("tie", "chave", "n03", "n09", True)]
+    frame = materialise(spark.createDataFrame([(e, k, a, b, o, e if k == "chave" else None) for e, k, a, b, o in edges], "edge_id string, kind string, src string, dst string, open boolean, gate string"), "edges")
+    sources = spark.createDataFrame([("A", "n00"), ("B", f"n{n:02d}")], "ctmt string, node string")
+    queue, sink, cp = (str(tmp_path / x) for x in ("queue", "sink", "cp"))
+    schema = "switch_id string, step long, action string"
+    rng, step, position = random.Random(6), 0, {}
+    gates = [e for e, k, *_ in edges if k == "chave"]
+    spark.createDataFrame([("e6", 0, "abrir")], schema).coalesce(1).write.mode("append").parquet(queue)
+    position["e6"] = (0, "abrir")
+    for batch in range(10):
+        rows = []
+        for _ in range(rng.randint(1, 3)):
+            step += 1
+            old = rng.random() < 0.2  # a late step that a newer one has overtaken
+            row = (rng.choice(gates), max(0, step - 30) if old else step, rng.choice(["abrir", "fechar"]))
+            rows.append(row)
+            if row[1] > position.get(row[0], (-1,))[0]:
+                position[row[0]] = row[1:]
+        rows = list(dict.fromkeys(rows))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(queue)
+        stream = jobs.stream_files(spark, queue, spark.createDataFrame([], schema).schema, "parquet", files_per_batch=1)
+        jobs.run_to_end(jobs.follow_supply(stream, frame, sources, sink, cp))
+        if batch in (0, 1, 2, 7, 9):
+            positions, supply = jobs.supply_tables(spark, sink)
+            assert {r.switch_id: (r.step, r.action) for r in positions.latest().collect()} == position
+            steps = spark.createDataFrame([(k, s, a) for k, (s, a) in position.items()], "gate string, step long, action string")
+            now = frame.join(steps, "gate", "left").withColumn("open", F.coalesce(F.col("action") == "abrir", "open"))
+            want = {r.node: r.fed_by for r in energised(now, sources).collect()}
+            assert {r.node: r.fed_by for r in supply.latest().collect() if r.fed_by} == want
 
 
 def test_run_files(spark, tmp_path):
