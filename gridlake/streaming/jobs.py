@@ -8,12 +8,11 @@ when a batch is repeated, so a restart after a lost driver or executor changes n
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from gridlake.functions.ordered import rank_in_group
@@ -24,8 +23,7 @@ from gridlake.session import app_scratch, delete_path, list_path, materialise, p
 from gridlake.sources.logs import EVENT_SCHEMA
 
 BATCH = "_batch"
-#: State store that can forget keys.
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 
 def _start(writer, trigger: str | None) -> StreamingQuery:
@@ -43,51 +41,24 @@ def _replace_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
-class _FirstOnly(StatefulProcessor):
-    """Passes the first row of a key and remembers the key for a while."""
-
-    def __init__(self, keep_ms: int):
-        self.keep_ms = keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "flag boolean", self.keep_ms)
-
-    def handleInputRows(self, key, rows, timer_values):
-        if self.seen.exists():
-            return
-        for batch in rows:
-            if len(batch):
-                self.seen.update((True,))
-                yield batch.iloc[:1]
-                return
-
-    def close(self) -> None:
-        pass
-
-
-def consume_events(events: DataFrame, sink: str, checkpoint: str, *, key: str = "id", keep: timedelta | None = None, trigger: str | None = None) -> StreamingQuery:
+def consume_events(
+    events: DataFrame, sink: str, checkpoint: str, *, key: str = "id", time: str | None = None, delay: str | None = None, trigger: str | None = None
+) -> StreamingQuery:
     """Append every event once (ST1), however often it is sent again: in a batch, in another file or after a restart.
 
-    The state holds the ids seen so far, and no watermark leaves a late event out. Without ``keep`` ids are remembered
-    for good; with it each id is forgotten that long after it was first seen. Events without an id are told apart by their content.
+    The state holds the id of every event seen, and no watermark leaves a late event out. Where that state must be bounded,
+    ``time`` and ``delay`` name an event time and how far repeats lie apart; an event later than that is then left out.
+    Events without an id are told apart by their content.
     """
     rows = events.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\u0000"), F.sha2(F.to_json(F.struct(*events.columns)), 256))))
-    if keep is None:
-        once, conf = rows.dropDuplicates(["_key"]).drop("_key"), {}
+    if time is None:
+        once = rows.dropDuplicates(["_key"])
     else:
-        once = rows.groupBy("_key").transformWithStateInPandas(
-            statefulProcessor=_FirstOnly(int(keep.total_seconds() * 1000)), outputStructType=events.schema, outputMode="Append", timeMode="ProcessingTime")
-        conf = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
-    spark = events.sparkSession
-    before = {k: spark.conf.get(k) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        writer = once.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
-        return _start(writer, trigger)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        if delay is None:
+            raise ValueError("give the delay of repeats with their time")
+        once = rows.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay).dropDuplicatesWithinWatermark(["_key"]).drop("_time")
+    writer = once.drop("_key").writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
+    return _start(writer, trigger)
 
 
 def latest_states(steps: DataFrame, sink: str, checkpoint: str, *, key: str = "switch_id", order: str = "step", value: str = "action", trigger: str | None = None) -> StreamingQuery:

@@ -2,7 +2,6 @@ import hashlib
 import itertools
 import json
 import random
-from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -223,16 +222,15 @@ def test_event_queue_and_streams(spark, tmp_path):
 
 
 def test_events_once(spark, tmp_path):
-    """Repeats in a file, across files and after a restart; with and without an end of memory."""
+    """Repeats in a file, across files and after a restart."""
     schema = "id string, hora string, tipo string"
-    for name, keep in (("ever", None), ("hours", timedelta(hours=5))):
-        queue, sink, cp = (str(tmp_path / f"{name}-{x}") for x in ("queue", "sink", "cp"))
-        for rows in ([("E-1", "2", "a"), ("E-1", "2", "a"), ("E-2", "9", "b"), (None, "1", "x")], [("E-2", "9", "b"), ("E-0", "0", "late"), (None, "1", "x"), (None, "1", "y")]):
-            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(queue)
-            stream = jobs.stream_files(spark, queue, spark.createDataFrame([], schema).schema, files_per_batch=1)
-            jobs.run_to_end(jobs.consume_events(stream, sink, cp, keep=keep))
-        got = sorted((r.id or "", r.tipo) for r in spark.read.parquet(sink).collect())
-        assert got == [("", "x"), ("", "y"), ("E-0", "late"), ("E-1", "a"), ("E-2", "b")]
+    queue, sink, cp = (str(tmp_path / x) for x in ("queue", "sink", "cp"))
+    for rows in ([("E-1", "2", "a"), ("E-1", "2", "a"), ("E-2", "9", "b"), (None, "1", "x")], [("E-2", "9", "b"), ("E-0", "0", "late"), (None, "1", "x"), (None, "1", "y")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(queue)
+        stream = jobs.stream_files(spark, queue, spark.createDataFrame([], schema).schema, files_per_batch=1)
+        jobs.run_to_end(jobs.consume_events(stream, sink, cp))
+    got = sorted((r.id or "", r.tipo) for r in spark.read.parquet(sink).collect())
+    assert got == [("", "x"), ("", "y"), ("E-0", "late"), ("E-1", "a"), ("E-2", "b")]
 
 
 def test_supply_follows_steps(spark, tmp_path):
@@ -247,7 +245,7 @@ def test_supply_follows_steps(spark, tmp_path):
     gates = [e for e, k, *_ in edges if k == "chave"]
     spark.createDataFrame([("e6", 0, "abrir")], schema).coalesce(1).write.mode("append").parquet(queue)
     position["e6"] = (0, "abrir")
-    for batch in range(10):
+    for _ in range(2):
         rows = []
         for _ in range(rng.randint(1, 3)):
             step += 1
@@ -260,13 +258,28 @@ def test_supply_follows_steps(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(queue)
         stream = jobs.stream_files(spark, queue, spark.createDataFrame([], schema).schema, "parquet", files_per_batch=1)
         jobs.run_to_end(jobs.follow_supply(stream, frame, sources, sink, cp))
-        if batch in (0, 1, 2, 7, 9):
-            positions, supply = jobs.supply_tables(spark, sink)
-            assert {r.switch_id: (r.step, r.action) for r in positions.latest().collect()} == position
-            steps = spark.createDataFrame([(k, s, a) for k, (s, a) in position.items()], "gate string, step long, action string")
-            now = frame.join(steps, "gate", "left").withColumn("open", F.coalesce(F.col("action") == "abrir", "open"))
-            want = {r.node: r.fed_by for r in energised(now, sources).collect()}
-            assert {r.node: r.fed_by for r in supply.latest().collect() if r.fed_by} == want
+        positions, supply = jobs.supply_tables(spark, sink)
+        assert {r.switch_id: (r.step, r.action) for r in positions.latest().collect()} == position
+        steps = spark.createDataFrame([(k, s, a) for k, (s, a) in position.items()], "gate string, step long, action string")
+        now = frame.join(steps, "gate", "left").withColumn("open", F.coalesce(F.col("action") == "abrir", "open"))
+        want = {r.node: r.fed_by for r in energised(now, sources).collect()}
+        assert {r.node: r.fed_by for r in supply.latest().collect() if r.fed_by} == want
+
+
+def test_versions_are_made_whole(spark, tmp_path):
+    """Every read equals the newest value per key, across whole versions, and old files go."""
+    versions = jobs.Versions(spark, str(tmp_path / "v"), "k", "k string, n bigint")
+    versions.start(spark.createDataFrame([("a", -1), ("b", -1)], "k string, n long"))
+    want = {"a": -1, "b": -1}
+    versions.WHOLE = 2
+    for batch in range(7):
+        key = "abc"[batch % 3]
+        versions.write(batch, spark.createDataFrame([(key, batch)], "k string, n long"))
+        want[key] = batch
+        assert {r.k: r.n for r in versions.before(batch + 1).collect()} == want
+    assert {r.k: r.n for r in versions.latest().collect()} == want
+    assert sorted(p.name for p in (tmp_path / "v").iterdir()) == ["part=4", "part=5", "part=6", "whole=3", "whole=5"]
+
 
 
 def test_run_files(spark, tmp_path):
