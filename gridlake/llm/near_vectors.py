@@ -58,7 +58,13 @@ def least_count(cosine: float, recall: float = RECALL, pool: int = POOL, window:
     return n
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their greatest component near one: squares neither over- nor underflow."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+
+
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
 
 
@@ -128,7 +134,7 @@ def link_classes(classes: DataFrame, cosine: float, block: int = BLOCK) -> DataF
             return None
         run = run.sort_values("id")
         ids, subs, n = run["id"].to_numpy(), run["sub"].to_numpy(), run["n"].to_numpy()
-        vectors, codes = np.array(run["vector"].tolist(), float), np.array(run["codes"].tolist(), np.int64)
+        vectors, codes = scaled(np.array(run["vector"].tolist(), float)), np.array(run["codes"].tolist(), np.int64)
         units = unit_rows(vectors)
         counts = window_collisions(units @ directions(vectors.shape[1]).T)
         left, right = np.nonzero(np.triu(counts >= least, 1))
@@ -152,13 +158,17 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
     """One row per vector: direct links, component, kept."""
     usable = finite("embedding") & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     vectors = embeddings.where(usable).select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
-    classes = materialise(vectors.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    # an id that stands for several vectors would join them: number the classes by their content then
+    # classes have numbers of their own, written once: an id may stand for several vectors
+    grouped = vectors.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     linked = materialise(link_classes(classes, cosine), "links")
     totals = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    components = connected_components(linked.select(F.col("id").alias("src"), F.col("root").alias("dst")), classes.select(F.col("id").alias("node")))
-    found = classes.join(totals, "id", "left").join(components, F.col("id") == F.col("node")).select(
-        "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    components = connected_components(linked.select(F.col("id").alias("src"), F.col("root").alias("dst")))
+    # only linked classes are in a component of several
+    least = components.join(classes.select(F.col("id").alias("node"), "first"), "node")
+    least = least.groupBy("component").agg(F.min("first").alias("least")).join(components, "component").select(F.col("node").alias("id"), "least")
+    found = classes.join(totals, "id", "left").join(least, "id", "left").select(
+        "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
     placed = vectors.join(found, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = embeddings.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
