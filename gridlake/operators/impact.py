@@ -22,6 +22,7 @@ from gridlake.functions.columns import (
 from gridlake.functions.keyed import unique_mode_per_key
 from gridlake.functions.ordered import rank_in_group
 
+# Minutes of a repair and of a switching when a case names none.
 REPAIR_MIN = 180.0
 SWITCHING_MIN = 5.0
 

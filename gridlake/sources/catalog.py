@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BinaryType,
@@ -18,6 +18,7 @@ from pyspark.sql.types import (
 
 from gridlake.functions.columns import ENERGY
 from gridlake.functions.geo import with_shape
+from gridlake.functions.wkb import KINDS
 
 # The layers exported when none is named.
 DEFAULT_LAYERS = (
@@ -169,18 +170,31 @@ def export_layers(
     layers: Iterable[str] | None = None,
     geometry: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Write each layer as its own dataset and return the manifest: rows and extent per layer."""
+    """Write each layer as its own dataset and return the manifest: rows and extent per layer.
+
+    Rows, extents and kinds are observed while a layer is written, so nothing is scanned a second time.
+    """
     found, _ = catalog.resolve(layers)
-    manifest: DataFrame | None = None
+    if not found:
+        raise MissingLayer("no layer to export")
+    rows = []
     for layer in found:
         df = conform_layer(catalog.read(layer), (geometry or {}).get(layer))
-        df.write.mode("overwrite").parquet(f"{destination}/{layer}.parquet")
-        written = catalog.spark.read.schema(df.schema).parquet(f"{destination}/{layer}.parquet")
-        row = layer_summary(written, layer)
-        manifest = row if manifest is None else manifest.unionByName(row)
-    if manifest is None:
-        raise MissingLayer("no layer to export")
-    return manifest
+        seen = Observation()
+        if "geometry" in df.columns:
+            shaped = with_shape(df, out="_shape")
+            watched = shaped.observe(
+                seen, F.count(F.lit(1)).alias("rows"), *[F.min(f"_shape.{c}").alias(c) for c in ("minx", "miny")], *[F.max(f"_shape.{c}").alias(c) for c in ("maxx", "maxy")],
+                *[F.coalesce(F.max(F.col("_shape.kind") == k), F.lit(False)).alias(k) for k in KINDS.values()],
+            ).drop("_shape")
+        else:
+            watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        watched.write.mode("overwrite").parquet(f"{destination}/{layer}.parquet")
+        got = seen.get
+        kinds = ";".join(sorted(k for k in KINDS.values() if got.get(k)))
+        rows.append((layer, got["rows"], *[got.get(c) for c in ("minx", "miny", "maxx", "maxy")], kinds))
+    # one row per layer
+    return catalog.spark.createDataFrame(rows, "layer string, rows bigint, minx double, miny double, maxx double, maxy double, kinds string")
 
 
 def layer_summary(df: DataFrame, layer: str) -> DataFrame:
