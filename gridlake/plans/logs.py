@@ -73,9 +73,20 @@ def timeline_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("event_timeline")
+@query(
+    "event_timeline",
+    """WITH e AS (SELECT event_id, concat('l', user_id % 7, '.jsonl') AS file, concat('E-', lpad(CAST(user_id % 40 AS VARCHAR), 4, '0')) AS ev, event_type,
+        CASE WHEN event_type NOT IN ('view', 'click') THEN concat('P-', lpad(CAST(user_id % 80 AS VARCHAR), 4, '0')) END AS pr FROM events),
+      m AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY file ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS run FROM e),
+      st AS (SELECT ev, file, run, min(event_id) AS first FROM m WHERE event_type = 'signup' GROUP BY ALL),
+      direct AS (SELECT ev, event_id FROM m WHERE pr IS NOT NULL UNION SELECT st.ev, m.event_id FROM st JOIN m ON m.file = st.file AND m.run = st.run AND m.event_id >= st.first),
+      reach AS (SELECT DISTINCT d.ev, m.pr FROM direct d JOIN m USING (event_id) WHERE m.pr IS NOT NULL),
+      a AS (SELECT ev, event_id FROM direct UNION SELECT reach.ev, m.event_id FROM reach JOIN m ON m.pr = reach.pr)
+    SELECT a.ev AS event_id, CASE m.event_type WHEN 'signup' THEN 'evento' WHEN 'purchase' THEN 'encerramento' WHEN 'error' THEN 'aprovacao' ELSE 'ferramenta' END AS entrada, count(*) AS n
+    FROM a JOIN m USING (event_id) GROUP BY 1, 2""",
+)
 def event_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries per event and kind; the rules have exact tests on small logs."""
+    """Entries per event and kind, runs and shared proposals included; chains of proposals have exact tests on small logs."""
     entries = audit.event_timeline(timeline_records(spark, sf))
     return entries.groupBy("event_id", "entrada").agg(F.count(F.lit(1)).alias("n"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridlake.operators import impact, load, results
 from gridlake.operators import network as net
 from gridlake.operators import restoration as rst
-from gridlake.plans.grid import _EDGES, _NETWORK, grid, layers, options, with_grid, zones
+from gridlake.plans.grid import _EDGES, _FED, _LOST, _NETWORK, _OPTIONS, _ZONES, grid, layers, options, with_grid, zones
 from gridlake.plans.registry import query, table
 from gridlake.session import materialise
 from gridlake.sources.logs import log_tail
@@ -46,15 +46,34 @@ def connected_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return net.connected_to_source([lay["SSDMT"], lay["UNSEMT"]], lay["CTMT"])
 
 
-@query("voltage_profile")
+@query(
+    "voltage_profile",
+    with_grid(
+        _EDGES + "," + _FED + "," + _ZONES + "," + _LOST + "," + _OPTIONS
+        + """,
+  eb AS MATERIALIZED (SELECT e.id, e.kind, e.open, e.gate, e.comp, e.u AS a, e.v AS b FROM edge e UNION ALL SELECT e.id, e.kind, e.open, e.gate, e.comp, e.v, e.u FROM edge e),
+  vp AS (SELECT concat('N', o_custkey) AS n, min(1.05 - l_discount) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+  wk(zone, chave, n, d, path) AS (
+    SELECT o.zone, o.chave, s.n, 0.0::DOUBLE, [s.n] FROM opt o JOIN src s ON s.f = o.fonte
+    UNION ALL SELECT w.zone, w.chave, e.b, w.d + e.comp, list_append(w.path, e.b) FROM wk w JOIN eb e ON e.a = w.n JOIN zone za ON za.n = e.a JOIN zone zb ON zb.n = e.b
+    WHERE za.z <> w.zone AND zb.z <> w.zone AND NOT list_contains(w.path, e.b)
+      AND (e.kind <> 'chave' OR e.id = w.chave OR (NOT e.open AND NOT EXISTS (SELECT 1 FROM bound x WHERE x.z = w.zone AND x.gate = e.id)))),
+  rec AS (SELECT DISTINCT t.z AS zone, t.gate AS chave, zone.n FROM touched t JOIN piece p ON p.z = t.z AND p.p = t.p JOIN zone ON zone.z = p.v),
+  far AS (SELECT *, row_number() OVER (PARTITION BY zone, chave ORDER BY d DESC, n DESC) AS r FROM wk JOIN rec USING (zone, chave, n)),
+  st AS (SELECT zone, chave, d, len(path) AS nos, unnest(path) AS n FROM far WHERE r = 1)
+SELECT zone, chave, any_value(nos) AS nos, any_value(round_even(d * 10, 0) / 10) AS metros, min(vp.v) AS v_min FROM st LEFT JOIN vp USING (n) GROUP BY 1, 2
+""",
+        *_NETWORK,
+    ),
+)
 def voltage_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """The best option of every zone; nodes, length and lowest voltage of its longest path."""
+    """Every option of every zone; nodes, length and lowest voltage of its longest path."""
     g = grid(spark, sf)
     graph, iso = zones(spark, sf)
     volts = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.concat(F.lit("n"), F.col("o_custkey").cast("string")).alias("barra"), (1.05 - F.col("l_discount")).alias("v_pu")
     )
-    path = rst.voltage_profile(graph, iso, g["edges"], g["sources"], options(spark, sf).where("ordem = 1"), volts)
+    path = rst.voltage_profile(graph, iso, g["edges"], g["sources"], options(spark, sf), volts)
     return path.groupBy("zone", "chave").agg(F.count(F.lit(1)).alias("nos"), F.max("distancia_m").alias("metros"), F.min("v_pu").alias("v_min"))
 
 

@@ -551,15 +551,26 @@ def merge_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return load.merge_duplicates(rows, order=["l_linenumber", "l_partkey", "l_suppkey"]).select("COD_ID", "ENE_01", "l_partkey")
 
 
-@query("phase_rebalance")
+@query(
+    "phase_rebalance",
+    """WITH RECURSIVE r AS MATERIALIZED (
+      SELECT CAST(l_suppkey AS VARCHAR) AS t, l_quantity AS kw, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS own, l_linenumber < 4 AS three,
+        row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey), l_quantity) AS i FROM lineitem),
+      w(t, i, a, b, c, kw, own, p) AS (
+        SELECT DISTINCT t, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0, 0 FROM r
+        UNION ALL SELECT t, i, CASE WHEN p = 1 THEN a + kw ELSE a END, CASE WHEN p = 2 THEN b + kw ELSE b END, CASE WHEN p = 3 THEN c + kw ELSE c END, kw, own, p FROM (
+          SELECT r.t, r.i, w.a, w.b, w.c, r.kw, r.own, CASE WHEN w.a <= w.b AND (NOT three OR w.a <= w.c) THEN 1 WHEN NOT three OR w.b <= w.c THEN 2 ELSE 3 END AS p
+          FROM w JOIN r ON r.t = w.t AND r.i = w.i + 1))
+    SELECT t AS uni_tr_mt, CASE p WHEN 1 THEN 'AN' WHEN 2 THEN 'BN' ELSE 'CN' END AS nova_fase, count(*) AS n, count(*) FILTER (p <> own) AS trocas, sum(kw) AS kw FROM w WHERE i > 0 GROUP BY 1, 2""",
+)
 def phase_rebalance(spark: SparkSession, sf: str) -> DataFrame:
-    """L4: greedy by id inside each supplier (order dependent; brute force in the tests)."""
+    """L4: greedy in the order of node and load inside each supplier."""
     rows = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("uni_tr_mt"), F.col("l_partkey").alias("pac"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("carga"), F.col("l_quantity").alias("kw_curva"),
         F.when(F.col("l_returnflag") == "A", "AN").when(F.col("l_returnflag") == "N", "BN").otherwise("CN").alias("fas_con"),
         F.when(F.col("l_linenumber") < 4, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2))).alias("fases_permitidas"),
     )
-    moved = load.rebalance_phases(rows)
+    moved = load.rebalance_phases(rows, order=("pac", "carga", "kw_curva"))
     return moved.groupBy("uni_tr_mt", "nova_fase").agg(F.count(F.lit(1)).alias("n"), F.count_if("trocou").alias("trocas"), F.sum("kw_curva").alias("kw"))
 
 
