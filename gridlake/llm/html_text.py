@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,10 +28,10 @@ from pyspark.sql import types as T
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select|svg|math|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[a-z][a-z0-9:-]*+)(?P<attrs2>[^>]*+)>"
-    r"|<[!?][^>]*+>|[^<]++|<", re.S | re.I,
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select|svg|title)\b[^<>]*+(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<close2>/?)(?P<name2>[a-z][a-z0-9:-]*+)(?P<attrs2>[^<>]*+)>"
+    r"|<[!?][^<>]*+>|[^<]++|<", re.S | re.I,
 )
 SELECTOR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CONTENT = frozenset(("article", "main"))
@@ -43,6 +44,8 @@ ASIDE_NAMES = frozenset(
     "advertising sponsor sponsored promo promotion comment comments disqus reply replies respond share sharing social related recommended "
     "widget breadcrumb breadcrumbs newsletter subscribe subscription popup modal login signup search pagination pager skip contentinfo complementary".split()
 )
+#: A name that only says whether there is such an element elsewhere, as in ``no-sidebar``.
+ABOUT_OTHERS = re.compile(r"(?:no|not|with|without|has|have|hide|show|after|before)[-_]", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 "
     "h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -80,7 +83,8 @@ def _marked_aside(name: str, attrs: str, in_content: bool) -> bool:
     if name in ("html", "body", *CONTENT):
         return False
     for found in SELECTOR.finditer(attrs):
-        words = re.split(r"[^a-z]+", (found[1] or found[2] or found[3] or "").lower())
+        names = (found[1] or found[2] or found[3] or "").lower().split()
+        words = [w for name in names if not ABOUT_OTHERS.match(name) for w in re.split(r"[^a-z]+", name)]
         if not ASIDE_NAMES.isdisjoint(words) and not ("header" in words and in_content):
             return True
     return False
@@ -89,12 +93,16 @@ def _marked_aside(name: str, attrs: str, in_content: bool) -> bool:
 def parse(source: str) -> Page:
     page = Page()
     page.elements.append(Element("", -1, -1, -1, False))
-    stack = [0]
+    stack, opened, contents = [0], Counter(), 0
     add = lambda kind, text: (page.kinds.append(kind), page.texts.append(text), page.inside.append(stack[-1]))
 
     def leave(depth: int):
+        nonlocal contents
         while len(stack) > depth:
-            page.elements[stack.pop()].end = len(page.kinds)
+            gone = page.elements[stack.pop()]
+            gone.end = len(page.kinds)
+            opened[gone.name] -= 1
+            contents -= gone.name in CONTENT
 
     for found in TOKEN.finditer(source):
         name = (found["name"] or found["name2"] or "").lower()
@@ -109,7 +117,8 @@ def parse(source: str) -> Page:
             continue
         known = name if name in BLOCKS or name in INLINE or name in ASIDE else "other"
         if found["close"] or found["close2"]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if page.elements[stack[i]].name == name), 0)
+            # an end tag without an open element is not looked for
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if page.elements[stack[i]].name == name), 0) if opened[name] > 0 else 0
             if depth:
                 leave(depth)
             add("/" + known, None)
@@ -118,13 +127,14 @@ def parse(source: str) -> Page:
         top = page.elements[stack[-1]].name
         if top == "p" and name in BLOCKS or top in CLOSING.get(name, ()):
             leave(len(stack) - 1)
-        in_content = any(page.elements[i].name in CONTENT for i in stack)
-        aside = _marked_aside(name, attrs, in_content)
+        aside = _marked_aside(name, attrs, contents > 0)
         add(known + "!" * aside, None)
         if name not in VOID and not attrs.endswith("/"):
             parent = stack[-1]
             page.elements.append(Element(name, parent, len(page.kinds), -1, aside or page.elements[parent].aside))
             stack.append(len(page.elements) - 1)
+            opened[name] += 1
+            contents += name in CONTENT
     leave(0)
     return page
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from gridlake.llm import language, near_vectors
+import time
+
+from gridlake.llm import html_text, language, near_vectors
 
 
 def test_repeated_vector_ids_and_extreme_sizes(spark):
@@ -18,3 +20,26 @@ def test_texts_without_a_letter(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r.lang_pred for r in language.identify(table).collect()}
     assert got[100] == got[102] == "und" and got[101] == "xx"
+
+
+ARTICLE = "<h1>A title of the page</h1><p>First words of the text.<p>Second words of it."
+
+
+def test_names_that_speak_of_others_and_closed_tags(spark):
+    plain = f"<html><body><nav><a href='/'>Home and more</a></nav><article>{ARTICLE}</article><footer>foot words</footer></body></html>"
+    shapes = [
+        f"<body><nav>Home and more</nav><div class='post no-sidebar'>{ARTICLE}</div><footer>foot words</footer></body>",
+        f"<body><nav>Home and more</nav><div class='with-sidebar has-comments'>{ARTICLE}</div><div class='sidebar'>side words here</div></body>",
+        f"<body><nav>Home and more</nav><article>{ARTICLE.replace('First', '<svg/>First')}</article></body>",
+    ]
+    rows = [(i, "u", plain) for i in range(5)] + [(10 + i, "u", s) for i, s in enumerate(shapes)] + [(20, "u", "<article><p>sum of <math><mi>x</mi></math> words</article>")]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in (0, 10, 11, 12)} == {"A title of the page\nFirst words of the text.\nSecond words of it."}
+    assert got[20] == "sum of x words"
+
+
+def test_hostile_pages_take_linear_time():
+    for piece in ("<div>", "<a ", "</b>", "<!", "<script ", '<a "'):
+        start = time.perf_counter()
+        html_text.parse(piece * (400_000 // len(piece)))
+        assert time.perf_counter() - start < 10, piece
