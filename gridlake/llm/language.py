@@ -98,7 +98,7 @@ def letter_runs(chunk: str) -> list[str]:
         return [chunk]
     # the pattern also takes number characters such as ² and ½, which are no letters
     pieces = LETTERS.findall(chunk)
-    return pieces if all(map(str.isalpha, pieces)) else [w for p in pieces for w in "".join(c if c.isalpha() else " " for c in p).split()]
+    return pieces if chunk.isascii() or all(map(str.isalpha, pieces)) else [w for p in pieces for w in "".join(c if c.isalpha() else " " for c in p).split()]
 
 
 def _gram_counts(batches):
