@@ -20,7 +20,8 @@ from gridlake.session import materialise
 
 def _score(key: str, shard: Column, weight: Column) -> Column:
     hashed = F.xxhash64(F.col(key), shard.cast("int"))
-    unit = (F.shiftrightunsigned(hashed, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    # 52 bits and a half are a double below one: the logarithm is never zero
+    unit = (F.shiftrightunsigned(hashed, 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     return -weight / F.log(unit)
 
 
