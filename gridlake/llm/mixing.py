@@ -44,6 +44,18 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     )
 
 
+def rank_bin(rank, copies, bins: int = BINS):
+    """Bin of a rank, the bins of a source holding about as many documents each.
+
+    A document of inclusion odds ``o`` has a rank below ``r`` with odds ``r * o``; ``copies``, the mean number of copies in the
+    source, gives the typical odds (exactly those of all its documents where these weigh the same).
+    """
+    part = copies - F.floor(copies)
+    typical = F.when((part > 0) & (part < 1), part / (1 - part)).otherwise(F.lit(1.0))
+    scaled = rank * F.coalesce(typical, F.lit(1.0))
+    return F.floor(scaled / (1 + scaled) * bins)
+
+
 def pareto_mix(docs: DataFrame, size, key: str = "doc_id", source: str = "source", weight=None, salt: str = "mix", most: int = MOST, bins: int = BINS) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken``.
 
@@ -62,8 +74,8 @@ def pareto_mix(docs: DataFrame, size, key: str = "doc_id", source: str = "source
     met = met.withColumn("_whole", F.floor("_m")).withColumn("_p", F.col("_m") - F.col("_whole"))
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
     met = met.withColumn("_rank", F.when(F.col("_p") > 0, odds))
-    # bins of equal width in rank / (1 + rank); a document without a fractional part is outside
-    met = met.withColumn("_bin", F.floor(F.col("_rank") / (1 + F.col("_rank")) * bins))
+    # a document without a fractional part is outside
+    met = met.withColumn("_bin", rank_bin(F.col("_rank"), F.least(F.lit(float(most)), F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), bins))
     sums = met.groupBy(F.col(source).alias("_source"), F.col("_bin").alias("_b")).agg(
         F.sum(F.when(F.col("_rank").isNotNull(), F.col("size"))).alias("_words"), F.sum(F.col("_whole") * F.col("size")).alias("_sure")
     )

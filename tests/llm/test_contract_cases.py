@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 
-from gridlake.llm import html_text, language, near_vectors
+from pyspark.sql import functions as F
+
+from gridlake.llm import html_text, language, mixing, near_vectors
 
 
 def test_repeated_vector_ids_and_extreme_sizes(spark):
@@ -43,3 +45,13 @@ def test_hostile_pages_take_linear_time():
         start = time.perf_counter()
         html_text.parse(piece * (400_000 // len(piece)))
         assert time.perf_counter() - start < 10, piece
+
+
+def test_rank_bins_are_even(spark):
+    """Whatever the fractional part of a source's copies, no bin holds much more than its share."""
+    for part in (0.0001, 0.3, 0.999, 2.9988):
+        p = part % 1
+        u = (F.col("id") + 0.5) / 40_000
+        rank = (u / (1 - u)) / (p / (1 - p))
+        sizes = [r["count"] for r in spark.range(40_000).groupBy(mixing.rank_bin(rank, F.lit(part)).alias("b")).count().collect()]
+        assert max(sizes) < 400 and len(sizes) > 1000
