@@ -55,13 +55,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         shortened = materialise(_jump(_jump(pointer)), "pointer")
         left = shortened.select(F.col("node").alias("src"), F.col("p").alias("ps"))
         right = shortened.select(F.col("node").alias("dst"), F.col("p").alias("pd"))
-        # a chain longer than the jumps leaves a pointer short of its root: it stays linked to where it points itself
-        short = shortened.where(F.col("node") != F.col("p")).join(shortened.select(F.col("p").alias("node")).distinct(), "node", "left_semi")
         rewritten = (
             current.join(left, "src").join(right, "dst")
             .where(F.col("ps") != F.col("pd"))
             .select(F.least("ps", "pd").alias("src"), F.greatest("ps", "pd").alias("dst"))
-            .unionByName(short.select(F.least("node", "p").alias("src"), F.greatest("node", "p").alias("dst")))
             .distinct()
         )
         maps.append(shortened)
