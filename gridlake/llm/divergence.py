@@ -154,7 +154,8 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
         "lang", "shard", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
         (F.col("block") > F.col("other")).cast("int").alias("side"), "source", "base", "term", "p")
     sums = met.groupBy("lang", "shard", "one", "two").applyInArrow(_pair_sums, "lang string, a string, b string, part long, terms long")
-    sums = sums.groupBy("lang", "a", "b").agg(F.sum("part").alias("part"), F.sum("terms").alias("terms"))
+    # a shard lists its sources in the order its rows came in
+    sums = sums.groupBy("lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("part").alias("part"), F.sum("terms").alias("terms"))
     both = sums.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("x"), F.col("part").alias("_sum"), "terms").select(
         "lang", "x.*", "_sum", "terms")
     # the result itself: each source against each other one of its language

@@ -138,6 +138,18 @@ def test_divergence(spark, sourced, least, top, terms, sources):
     assert Counter(map(tuple, got.collect())) == Counter(brute_divergence(sourced, least, top))
 
 
+def test_divergence_rows_in_any_order(spark, sourced, monkeypatch):
+    """Executors fetch the rows of a shard in any order; each shard here gets them in an order of its own."""
+    summed = divergence._pair_sums
+
+    def shuffled(rows):
+        return summed(rows.take(np.random.default_rng(rows["shard"][0].as_py()).permutation(rows.num_rows)))
+
+    monkeypatch.setattr(divergence, "_pair_sums", shuffled)
+    got = divergence.source_divergence(table(spark, sourced), least=1, top=5, terms=16, sources=4)
+    assert Counter(map(tuple, got.collect())) == Counter(brute_divergence(sourced, 1, 5))
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.source_divergence(table(spark, [])).count() == 0
 
