@@ -46,6 +46,16 @@ def test_clip(spark, catalog, ties, tmp_path):
     assert clip.union_clips([sel["SSDMT"]]).count() == 9
 
 
+def test_clip_files_do_not_grow_with_the_clips(spark, tmp_path):
+    rows = spark.range(600).selectExpr("concat('L', id) AS COD_ID", "concat('c', id % 200) AS clip_id")
+    feeders = spark.range(200).selectExpr("concat('c', id) AS clip_id", "concat('F', id) AS COD_ID", "'n' AS NOME", "'S' AS SUB")
+    bridge = feeders.select("clip_id", F.col("COD_ID").alias("ctmt"))
+    clip.write_clips({"CTMT": feeders, "SSDMT": rows}, bridge, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out" / "SSDMT"))
+    assert sorted(map(tuple, back.select("COD_ID", "clip_id").collect())) == sorted(map(tuple, rows.collect()))
+    assert len(list((tmp_path / "out" / "SSDMT").rglob("*.parquet"))) < 50
+
+
 def register_rows():
     """Four projects of the utility, three with a generator in the base, and one of another state."""
     always = {
