@@ -307,3 +307,13 @@ def test_small_functions(spark):
         None, "a", "2", None, "2024-12-31", 0.0, None, 2.0, 13.2, True, True, True, 2, "AB1", "RJO1", 1.234567, ["a", "b"], 2.0
     )
     assert col.round_record(df.select("x")).collect()[0].x == 2.0
+
+
+def test_stream_parts_are_spread_over_files(spark, tmp_path):
+    from gridlake.plans.logs import send_parts
+
+    rows = spark.range(4000).withColumnRenamed("id", "event_id")
+    files = send_parts([rows.where("event_id < 1000"), rows.where("event_id >= 1000")], str(tmp_path / "sent"))
+    written = list((tmp_path / "sent").glob("*.parquet"))
+    assert files > 1 and len(written) == 2 * files
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "sent")).collect()) == list(range(4000))
