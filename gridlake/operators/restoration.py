@@ -453,17 +453,98 @@ def reclose_effect(graph: ZoneGraph, isolation: Isolation, footprint: DataFrame)
     )
 
 
-def voltage_profile(
-    graph: ZoneGraph, isolation: Isolation, edges: DataFrame, sources: DataFrame, chosen: DataFrame, voltages: DataFrame
+def _only_paths(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first forest of the closed network, and the sources whose island is a tree of its own.
+
+    In such an island no closed edge is left out of the forest, nothing but a switch is open, there is one start node
+    and no external node: between any two nodes there is one path, whatever is switched off.
+    """
+    closed = edges.where(~F.col("open"))
+    forest = materialise(breadth_first(closed.select("edge_id", "src", "dst"), source_table(sources, edges)), "forest")
+    ends = off_tree_edges(closed.select("edge_id", "src", "dst"), forest).select("src", "dst").unionByName(
+        edges.where(F.col("open") & (F.col("kind") != SWITCH)).select("src", "dst"))
+    marked = ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("_m", F.lit(True))
+    islands = forest.join(marked, "node", "left").groupBy("source").agg(
+        F.count_if(F.col("_m") | is_external(F.col("node"))).alias("_bad"), F.count_if(F.col("hops") == 0).alias("_starts"))
+    return forest, materialise(islands.where("_bad = 0 and _starts = 1").select("source"), "trees")
+
+
+def _with_end(rows: DataFrame, nodes: DataFrame, end: str, out: str) -> DataFrame:
+    return rows.join(nodes.select(F.col("node").alias(end), F.col("zone").alias(out)), end)
+
+
+def _tree_walks(
+    graph: ZoneGraph, isolation: Isolation, edges: DataFrame, forest: DataFrame, plain: DataFrame
 ) -> DataFrame:
-    """Voltage along the longest path that each chosen option transfers.
+    """zone, chave, node, length of the farthest path of the options (``plain``: zone, chave, fonte) between two trees.
 
-    ``chosen``: zone, chave, fonte (a subset of the options); ``voltages``: barra, v_pu of the phase
-    nodes. Only the source's own zones and the recovered ones are searched. The far end is the
-    recovered node of the greatest length (then name); result: zone, chave, barra, distancia_m, v_pu.
+    The way to the closed switch lies in the source's own tree, whose lengths are taken once for all options. Only the
+    recovered piece is walked per option, away from the switch; lengths are added in the order of the path.
     """
     keys = ["zone", "chave"]
-    chosen = materialise(chosen.select(*keys, "fonte").distinct(), "chosen")
+    weight = F.coalesce("comp", F.lit(0.0)).alias("weight")
+    steps = forest.where(F.col("via").isNotNull()).select("node", "parent", F.col("via").alias("edge_id"), "hops", F.least("node", "parent").alias("_lo"), F.greatest("node", "parent").alias("_hi")).join(
+        edges.select("edge_id", F.least("src", "dst").alias("_lo"), F.greatest("src", "dst").alias("_hi"), weight), ["edge_id", "_lo", "_hi"])
+    own_steps = materialise(steps.select("node", "parent", "hops", "weight"), "steps")
+
+    # the switch has one end without supply and one with it, outside the faulted zone
+    gate = edges.where(F.col("kind") == SWITCH).select(F.col("edge_id").alias("chave"), weight, F.explode(F.array(
+        F.struct(F.col("src").alias("x"), F.col("dst").alias("y")), F.struct(F.col("dst").alias("x"), F.col("src").alias("y")))).alias("_s")).select("chave", "weight", "_s.*")
+    sides = materialise(_with_end(_with_end(plain.join(gate, "chave"), graph.zones, "x", "zx"), graph.zones, "y", "zy").where(F.col("zy") != F.col("zone")), "sides")
+    lost = materialise(lost_at(graph, isolation, sides.select(F.explode(F.array("zx", "zy")).alias("node"))).select(F.col("cut").alias("zone"), "lost"), "lost")
+    entry = materialise(sides.join(lost.withColumnRenamed("lost", "zx"), ["zone", "zx"], "left_semi").join(
+        lost.withColumnRenamed("lost", "zy"), ["zone", "zy"], "left_anti").join(
+        forest.select(F.col("node").alias("y"), F.col("source").alias("fonte")), ["y", "fonte"], "left_semi").select(*keys, "x", "y", "weight"), "entry")
+
+    # lengths along the forest, one level after the other
+    level = forest.where("hops = 0").select("node", F.lit(0.0).alias("length"))
+    deepest = own_steps.agg(F.coalesce(F.max("hops"), F.lit(0))).first()[0]
+    lengths = []
+    for hop in range(1, deepest + 1):
+        lengths.append(level)
+        level = own_steps.where(F.col("hops") == hop).join(level.withColumnRenamed("node", "parent"), "parent").select("node", (F.col("length") + F.col("weight")).alias("length"))
+        if hop % 4 == 0:
+            level = materialise(level, "lengths")
+    lengths = materialise(reduce(DataFrame.unionByName, [*lengths, level]), "lengths")
+
+    near = own_steps.select(F.explode(F.array(
+        F.struct(F.col("node").alias("a"), F.col("parent").alias("b")), F.struct(F.col("parent").alias("a"), F.col("node").alias("b")))).alias("_p"), "weight").select("_p.*", "weight")
+    near = materialise(_with_end(near, graph.zones, "b", "zb"), "near")
+
+    def onward(rows: DataFrame) -> DataFrame:
+        return rows.join(near.withColumnRenamed("a", "node"), "node").where((F.col("zb") != F.col("zone")) & (F.col("b") != F.col("parent"))).select(
+            *keys, F.col("b").alias("node"), F.col("node").alias("parent"), (F.col("length") + F.col("weight")).alias("length"))
+
+    frontier = materialise(entry.join(lengths.withColumnRenamed("node", "y"), "y").select(
+        *keys, F.col("x").alias("node"), F.col("y").alias("parent"), (F.col("length") + F.col("weight")).alias("length")), "front")
+    walked = [frontier]
+    while True:
+        # two steps per written table
+        first = onward(frontier)
+        pair = materialise(first.withColumn("_k", F.lit(1)).unionByName(onward(first).withColumn("_k", F.lit(2))), "front")
+        walked.append(pair.drop("_k"))
+        frontier = pair.where("_k = 2").drop("_k")
+        if frontier.isEmpty():
+            break
+    reached = materialise(reduce(DataFrame.unionByName, walked).select(*keys, "node", "length"), "reached")
+    far = materialise(reached.groupBy(*keys).agg(F.max(F.struct("length", "node")).alias("_t")).select(*keys, F.col("_t.node").alias("t")).join(
+        entry, keys).select(*keys, "x", "y", "t"), "far")
+
+    # the path as ancestors of its ends: up from the switch to the source, and between both ends in the piece
+    asked = far.select(F.explode(F.array("x", "y", "t")).alias("node")).distinct()
+    up = ancestors_of(asked, jump_tables(forest)).select("node", "anc").unionByName(asked.select("node", F.col("node").alias("anc")))
+    up = materialise(up, "up")
+    before = far.select(*keys, F.col("y").alias("node")).join(up, "node").select(*keys, F.col("anc").alias("node")).join(lengths, "node").select(*keys, "node", "length")
+    both = far.select(*keys, F.explode(F.array("x", "t")).alias("node")).join(up, "node").groupBy(*keys, F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("_n"))
+    both = materialise(both.join(reached, [*keys, "node"]).join(forest.select("node", "hops"), "node"), "both")
+    turn = both.where("_n = 2").groupBy(*keys).agg(F.max("hops").alias("_turn"))
+    inside = both.join(turn, keys).where("_n = 1 or hops = _turn").select(*keys, "node", "length")
+    return before.unionByName(inside)
+
+
+def _searched_walks(graph: ZoneGraph, isolation: Isolation, edges: DataFrame, sources: DataFrame, chosen: DataFrame) -> DataFrame:
+    """zone, chave, node, length of the farthest path of each option, searched in the zones that belong to it."""
+    keys = ["zone", "chave"]
     pairs = lost_at(graph, isolation).join(chosen.select(F.col("zone").alias("cut")).distinct(), "cut", "left_semi")
     pairs = materialise(pairs, "pairs")
     recovered = chosen.select(F.col("zone").alias("cut"), F.col("chave").alias("gate")).join(
@@ -497,8 +578,34 @@ def voltage_profile(
         if step.isEmpty():
             break
         walked.append(step)
+    return reduce(DataFrame.unionByName, walked).select(*keys, "node", "length")
+
+
+def voltage_profile(
+    graph: ZoneGraph, isolation: Isolation, edges: DataFrame, sources: DataFrame, chosen: DataFrame, voltages: DataFrame
+) -> DataFrame:
+    """Voltage along the longest path that each chosen option transfers.
+
+    ``chosen``: zone, chave, fonte (a subset of the options); ``voltages``: barra, v_pu of the phase
+    nodes. The far end is the recovered node of the greatest length (then name); result: zone, chave,
+    barra, distancia_m, v_pu. Options between two tree-shaped islands have one path and are walked along
+    the trees; only for the others are the source's own zones and the recovered ones searched.
+    """
+    keys = ["zone", "chave"]
+    chosen = materialise(chosen.select(*keys, "fonte").distinct(), "chosen")
+    forest, trees = _only_paths(edges, sources)
+    home = graph.forest.select(F.col("node").alias("zone"), "source").join(trees, "source", "left_semi").select("zone")
+    odd = isolation.single.select(F.col("cut").alias("zone")).unionByName(isolation.refed.select(F.col("cut").alias("zone"))).distinct()
+    alone = edges.where(F.col("gate").isNotNull()).groupBy(F.col("gate").alias("chave")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max((F.col("kind") == SWITCH) & (F.col("edge_id") == F.col("gate"))).alias("_own")).where("_n = 1 and _own")
+    plain = materialise(chosen.join(trees.withColumnRenamed("source", "fonte"), "fonte", "left_semi").join(home, "zone", "left_semi").join(
+        odd, "zone", "left_anti").join(alone, "chave", "left_semi"), "plain")
+    rest = materialise(chosen.join(plain.select(*keys), keys, "left_anti"), "searched")
+    paths = [_tree_walks(graph, isolation, edges, forest, plain)] if not plain.isEmpty() else []
+    if not paths or not rest.isEmpty():
+        paths.append(_searched_walks(graph, isolation, edges, sources, rest))
     lowest = voltages.groupBy(F.lower("barra").alias("_b")).agg(F.min("v_pu").alias("v_pu"))
-    return reduce(DataFrame.unionByName, walked).withColumn("_b", F.lower("node")).join(lowest, "_b", "left").select(
+    return reduce(DataFrame.unionByName, paths).withColumn("_b", F.lower("node")).join(lowest, "_b", "left").select(
         *keys, F.col("node").alias("barra"), round_to(F.col("length"), 1).alias("distancia_m"), "v_pu"
     )
 

@@ -220,3 +220,17 @@ def test_connected_including_low_voltage(catalog):
     layers = [catalog.read(x) for x in ("SSDMT", "UNSEMT", "UNTRMT", "SSDBT", "UNSEBT", "RAMLIG")]
     found = {r.node: r.connected for r in net.connected_to_source(layers, catalog.read("CTMT")).collect()}
     assert found["U1p"] and found["L3a"] and found["A7"] and not found["G1"] and not found["L4"]
+
+
+def test_voltage_profile_between_trees_needs_no_search(spark, grid, zones, monkeypatch):
+    graph, isolation = zones
+    chosen = rst.restoration_options(graph, isolation).select("zone", "chave", "fonte")
+    searched = {tuple(r) for r in rst._searched_walks(graph, isolation, grid["edges"], grid["sources"], chosen).collect()}
+    volts = spark.createDataFrame([("a7", 0.96)], "barra string, v_pu double")
+
+    def refuse(*_):
+        raise AssertionError("a path between two trees was searched")
+
+    monkeypatch.setattr(rst, "shortest_paths", refuse)
+    rows = rst.voltage_profile(graph, isolation, grid["edges"], grid["sources"], chosen, volts).collect()
+    assert searched and {(r.zone, r.chave, r.barra, r.distancia_m) for r in rows} == {(z, c, n, round(d, 1)) for z, c, n, d in searched}
