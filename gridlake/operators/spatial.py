@@ -6,13 +6,16 @@ with equality, and the exact test runs on the candidates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions.columns import degrees_for_metres, distance_km, round_to, web_mercator
 from gridlake.functions.geo import distance_to_edges, edges_meet
+from gridlake.session import materialise
 
 
 def proximity_pairs(
@@ -30,41 +33,44 @@ def proximity_pairs(
 ) -> DataFrame:
     """Nearest end of each *other* owner within ``radius`` of each point (ops J5, W1).
 
-    Cells are ``radius`` wide, so a 3x3 neighbourhood holds every partner. Points and ends that
-    share a position are collapsed before the join (a stack of copies is compared once) and the
-    point's own rows come back with an equi-join on position. One row per (point, end owner);
-    ``DIST_M`` is the unrounded distance; equal distances go to the smaller end id, then node.
+    Points and ends that share a position are collapsed first (a stack of copies is compared once) and the
+    point's own rows come back with an equi-join on position. Cells of halving width are tried, the finest first: a
+    3x3 neighbourhood of cells holds every end within their width, so an end found within it is the nearest, and
+    only the (place, owner) pairs without one go on to cells twice as wide, up to ``radius``. The finest width leaves
+    about one to four ends of an owner in a cell, so in dense places a point is not compared with every end
+    around it. One row per (point, end owner); ``DIST_M`` is the unrounded distance; equal distances go to the
+    smaller end id, then node.
     """
-    cell = float(radius)
     spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(x).alias("_px"), F.col(y).alias("_py")
     ).distinct()
-    spots = (
-        spots.withColumn("_dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-        .withColumn("_dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-        .select(
-            "_px", "_py",
-            (F.floor(F.col("_px") / cell) + F.col("_dx")).alias("_cx"),
-            (F.floor(F.col("_py") / cell) + F.col("_dy")).alias("_cy"),
-        )
-    )
     # one representative end per (position, owner): the smallest (id, node)
-    unique_ends = (
+    unique_ends = materialise(
         ends.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(end_owner).isNotNull())
         .groupBy(F.col(x).alias("_ex"), F.col(y).alias("_ey"), F.col(end_owner).alias("_eo"))
-        .agg(F.min(F.struct(F.col(end_id).alias("i"), F.col(end_node).alias("n"))).alias("_e"))
-        .withColumn("_cx", F.floor(F.col("_ex") / cell))
-        .withColumn("_cy", F.floor(F.col("_ey") / cell))
-    )
-    near = (
-        spots.join(unique_ends, ["_cx", "_cy"])
-        .withColumn("_d", F.hypot(F.col("_px") - F.col("_ex"), F.col("_py") - F.col("_ey")))
-        .where(F.col("_d") <= radius)
-        .groupBy("_px", "_py", "_eo")
-        .agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_e.i").alias("i"), F.col("_e.n").alias("n"))).alias("_best"))
+        .agg(F.min(F.struct(F.col(end_id).alias("i"), F.col(end_node).alias("n"))).alias("_e")),
+        "ends",
     )
+    radius = float(radius)
+    halvings = _halvings(unique_ends, radius)
+    if halvings:
+        spots = materialise(spots, "spots")
+    found = _nearest(spots, unique_ends, radius / 2**halvings, radius)
+    if halvings:
+        found = materialise(found, "near")
+        # the owners with an end in the neighbourhood: what is not found yet has none so near
+        owners = unique_ends.select("_eo", *_cell(F.col("_ex"), F.col("_ey"), radius)).distinct()
+        around = owners.select(
+            "_eo", F.explode(_around("_cx")).alias("_cx"), "_cy").select("_eo", "_cx", F.explode(_around("_cy")).alias("_cy")).distinct()
+        todo = spots.select("*", *_cell(F.col("_px"), F.col("_py"), radius)).join(around, ["_cx", "_cy"]).select("_px", "_py", "_eo")
+        last, parts = found, [found]
+        for k in reversed(range(halvings)):
+            todo = materialise(todo.join(last.select("_px", "_py", "_eo"), ["_px", "_py", "_eo"], "left_anti"), "todo")
+            last = materialise(_nearest(todo, unique_ends, radius / 2**k, radius), "near")
+            parts.append(last)
+        found = reduce(DataFrame.unionByName, parts)
     back = points.withColumn("_px", F.col(x)).withColumn("_py", F.col(y))
-    matched = back.join(near, ["_px", "_py"]).where(F.col(owner) != F.col("_eo"))
+    matched = back.join(found, ["_px", "_py"]).where(F.col(owner) != F.col("_eo"))
     return matched.select(
         *points.columns,
         F.col("_eo").alias(end_owner),
@@ -74,6 +80,37 @@ def proximity_pairs(
     )
 
 
+def _cell(x: Column, y: Column, size: float) -> list[Column]:
+    return [F.floor(x / size).alias("_cx"), F.floor(y / size).alias("_cy")]
+
+
+def _around(cell: str) -> Column:
+    return F.array(*[F.col(cell) + i for i in (-1, 0, 1)])
+
+
+def _halvings(ends: DataFrame, radius: float) -> int:
+    """How often ``radius`` may be halved so that a cell still holds about one end of an owner it has."""
+    held = ends.groupBy("_eo", *_cell(F.col("_ex"), F.col("_ey"), radius)).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    beside = held.agg(F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n")).first()[0] or 0.0
+    return min(int(math.log(beside, 4)), 20) if beside >= 1 else 0
+
+
+def _nearest(places: DataFrame, ends: DataFrame, width: float, radius: float) -> DataFrame:
+    """_px, _py, _eo, _best (d, i, n): nearest end within ``width``; ``places`` may ask for one owner each."""
+    keys = ["_cx", "_cy"] + (["_eo"] if "_eo" in places.columns else [])
+    near = places.select("*", *_cell(F.col("_px"), F.col("_py"), width)).withColumn("_cx", F.explode(_around("_cx"))).withColumn("_cy", F.explode(_around("_cy")))
+    # a hair less than the width of a finer cell: divisions are rounded
+    limit = width if width == radius else width * (1 - 1e-9)
+    # the ends are sent to their cells: a small table of places still meets many of them, in more than one task
+    return (
+        near.join(ends.select("*", *_cell(F.col("_ex"), F.col("_ey"), width)).hint("merge"), keys)
+        .withColumn("_d", F.hypot(F.col("_px") - F.col("_ex"), F.col("_py") - F.col("_ey")))
+        .where(F.col("_d") <= limit)
+        .groupBy("_px", "_py", "_eo")
+        .agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_e.i").alias("i"), F.col("_e.n").alias("n"))).alias("_best"))
+    )
+
+
 def _cells(df: DataFrame, minx: Column, miny: Column, maxx: Column, maxy: Column, size: float) -> DataFrame:
     low = [F.floor(minx / size), F.floor(miny / size)]
     high = [F.floor(maxx / size), F.floor(maxy / size)]
