@@ -53,11 +53,10 @@ def unique_mode_per_key(
     counted = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.alias("_amount"))
     ).where(F.col("_amount") > 0)
-    best = counted.groupBy(*keys).agg(F.max("_amount").alias("_best"))
-    top = counted.join(best, list(keys)).where(F.col("_amount") == F.col("_best"))
-    return top.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) == 1, F.min(value)).alias(out or value)
-    )
+    low = F.min_by(value, F.struct((-F.col("_amount")).alias("a"), F.col(value).alias("v")))
+    high = F.max_by(value, F.struct(F.col("_amount").alias("a"), F.col(value).alias("v")))
+    # least and greatest of the values in the first place
+    return counted.groupBy(*keys).agg(F.when(low == high, low).alias(out or value))
 
 
 def sorted_text_list(value: Column, separator: str = ";") -> Column:

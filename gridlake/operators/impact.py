@@ -128,8 +128,14 @@ def option_impact(
     )
     if regions is None or totals is None:
         return base
-    served = option_nodes.join(regions, "node").groupBy(*keys, "region").agg(F.sum("n").alias("n"))
-    picked = [unique_mode_per_key(served, keys, "region", "_r1", F.col("n"))]
+    # an option of one node has that node's mode and counts; only options of several are added up region by region
+    counted = regions.groupBy("node", "region").agg(F.sum("n").alias("n"))
+    nodes = option_nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), F.min("node").alias("_one"))
+    several = option_nodes.join(nodes.where("_k > 1").select(*keys), keys)
+    served = several.join(counted, "node").groupBy(*keys, "region").agg(F.sum("n").alias("n"))
+    alone = nodes.where("_k = 1").select(*keys, F.col("_one").alias("node"))
+    modes = unique_mode_per_key(counted, ["node"], "region", "_r1", F.col("n"))
+    picked = [unique_mode_per_key(served, keys, "region", "_r1", F.col("n")).unionByName(alone.join(modes, "node").select(*keys, "_r1"))]
     if asset_regions is not None:
         assets = option_nodes.join(asset_regions, "node").select(*keys, "asset", "region").distinct()
         picked.append(unique_mode_per_key(assets, keys, "region", "_r2"))
@@ -143,7 +149,9 @@ def option_impact(
         table = table.join(p, keys, "left")
     chosen = F.coalesce(*[F.col(c) for c in ("_r1", "_r2", "_r3") if c in table.columns])
     table = table.withColumn("region", chosen).drop("_r1", "_r2", "_r3")
-    table = table.join(totals, "region", "left").join(served, [*keys, "region"], "left")
+    table = table.join(totals, "region", "left").join(alone, keys, "left").join(
+        counted.withColumnRenamed("n", "_n1"), ["node", "region"], "left"
+    ).join(served, [*keys, "region"], "left").withColumn("n", F.coalesce("n", "_n1"))
     if names is not None:
         table = table.join(names.select("region", "region_name"), "region", "left")
     else:

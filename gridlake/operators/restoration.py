@@ -216,13 +216,19 @@ def piece_totals(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
         *[F.sum(c).alias(c) for c in TOTALS])
 
 
-def piece_regions(graph: ZoneGraph, isolation: Isolation, regions: DataFrame, by: str = "region") -> DataFrame:
-    """cut, component, region, n: customers per region of each piece, from ``regions``: node (a zone), region, n."""
-    counted = regions.where(F.col(by).isNotNull()).groupBy("node", by).agg(F.sum("n").alias("n"))
-    below = subtree_sums(graph.order, counted, ["n"], wanted=isolation.branches.select(F.col("branch").alias("node")), by=by)
-    simple = isolation.branches.join(below.withColumnRenamed("node", "branch"), "branch").where("n > 0")
-    single = isolation.single.join(counted.withColumnRenamed("node", "lost"), "lost")
-    return simple.select("cut", "component", by, "n").unionByName(single.select("cut", "component", by, "n")).groupBy("cut", "component", by).agg(F.sum("n").alias("n"))
+def piece_regions(graph: ZoneGraph, isolation: Isolation, regions: DataFrame, by: str = "region", pieces: DataFrame | None = None) -> DataFrame:
+    """cut, component, region, n: customers per region of each piece, from ``regions``: node (a zone), region, n; only the ``pieces`` (cut, component) if given."""
+    branches, single = isolation.branches, isolation.single
+    if pieces is not None:
+        asked = pieces.select("cut", "component").distinct()
+        branches, single = (df.join(asked, ["cut", "component"], "left_semi") for df in (branches, single))
+        branches = materialise(branches, "asked")
+    # read three times, by the sampling of ranges too
+    counted = materialise(regions.where(F.col(by).isNotNull()).groupBy("node", by).agg(F.sum("n").alias("n")), "counted")
+    below = subtree_sums(graph.order, counted, ["n"], wanted=branches.select(F.col("branch").alias("node")), by=by)
+    simple = branches.join(below.withColumnRenamed("node", "branch"), "branch").where("n > 0")
+    several = single.join(counted.withColumnRenamed("node", "lost"), "lost")
+    return simple.select("cut", "component", by, "n").unionByName(several.select("cut", "component", by, "n")).groupBy("cut", "component", by).agg(F.sum("n").alias("n"))
 
 
 def isolation_table(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
@@ -249,10 +255,15 @@ def segment_zones(edges: DataFrame, zones: DataFrame) -> DataFrame:
     ).select("edge_id", "ctmt", "zone")
 
 
-def recovered_components(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
-    """cut, gate, component: lost pieces each open switch touches, whether or not it helps."""
+def lost_ends(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
+    """cut, lost, component: the scenarios that leave an end of an open switch without supply."""
+    return materialise(lost_at(graph, isolation, _open_ends(graph).select(F.col("x").alias("node"))), "located")
+
+
+def recovered_components(graph: ZoneGraph, isolation: Isolation, lost: DataFrame | None = None) -> DataFrame:
+    """cut, gate, component: lost pieces each open switch touches, whether or not it helps; ``lost`` as by ``lost_ends``."""
     ends = _open_ends(graph)
-    lost = lost_at(graph, isolation, ends.select(F.col("x").alias("node")))
+    lost = lost_ends(graph, isolation) if lost is None else lost
     return lost.join(ends.withColumnRenamed("x", "lost"), "lost").select("cut", "gate", "component").distinct()
 
 
@@ -267,15 +278,15 @@ def _open_ends(graph: ZoneGraph) -> DataFrame:
     return opened.select("gate", "edge_id", order.alias("order"), F.explode(sides).alias("_s")).select("gate", "edge_id", "order", "_s.*")
 
 
-def restoration_options(graph: ZoneGraph, isolation: Isolation) -> DataFrame:
+def restoration_options(graph: ZoneGraph, isolation: Isolation, lost: DataFrame | None = None) -> DataFrame:
     """Every open switch that returns supply after isolating a zone (N11), ranked.
 
     One row per (zone, switch): source, recovered nodes and customers, customers already on that
-    source, rank by customers, remote control, code.
+    source, rank by customers, remote control, code. ``lost`` as by ``lost_ends``.
     """
     ends = materialise(_open_ends(graph), "ends")
     # only the ends of open switches are looked up, both of them
-    lost = materialise(lost_at(graph, isolation, ends.select(F.col("x").alias("node"))), "located")
+    lost = lost_ends(graph, isolation) if lost is None else lost
     candidates = lost.join(ends.withColumnRenamed("x", "lost"), "lost")
     alive = candidates.join(graph.forest.select(F.col("node").alias("y"), F.col("source").alias("_src")), "y")
     alive = alive.join(lost.select("cut", F.col("lost").alias("y")), ["cut", "y"], "left_anti")
@@ -645,6 +656,6 @@ def step_sequence(options: DataFrame, isolation: Isolation, footprint: DataFrame
 
 __all__ = [
     "EXTERNAL", "Isolation", "ZoneGraph", "boundaries", "fault_footprint", "isolate_zones", "isolation_table",
-    "lost_at", "node_downstream", "node_totals", "piece_regions", "piece_totals", "reclose_effect", "recovered_components", "restoration_options", "segment_zones",
+    "lost_at", "lost_ends", "node_downstream", "node_totals", "piece_regions", "piece_totals", "reclose_effect", "recovered_components", "restoration_options", "segment_zones",
     "source_load", "step_sequence", "sum_customers", "switch_downstream", "switch_totals", "voltage_profile", "zone_graph", "zone_labels", "zone_paths",
 ]

@@ -123,6 +123,7 @@ def grid(spark: SparkSession, sf: str) -> Parts:
         "labels": lambda g: rst.zone_labels(g["edges"]),
         "graph": lambda g: rst.zone_graph(g["edges"], g["sources"], g["customers"], g["labels"]),
         "isolation": lambda g: rst.isolate_zones(g["graph"]),
+        "located": lambda g: rst.lost_ends(g["graph"], g["isolation"]),
     }
     return once(spark, sf, "grid", lambda: Parts(layers(spark, sf), makers))
 
@@ -133,7 +134,7 @@ def zones(spark: SparkSession, sf: str) -> tuple[rst.ZoneGraph, rst.Isolation]:
 
 
 def options(spark: SparkSession, sf: str) -> DataFrame:
-    return once(spark, sf, "options", lambda: materialise(rst.restoration_options(*zones(spark, sf)), "grid-options"))
+    return once(spark, sf, "options", lambda: materialise(rst.restoration_options(*zones(spark, sf), grid(spark, sf)["located"]), "grid-options"))
 
 
 def fed(spark: SparkSession, sf: str) -> DataFrame:
@@ -403,7 +404,7 @@ def _piece(cut: str = "cut"):
 
 def option_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """The pieces each option recovers; a piece stands for its nodes, whose totals are already summed."""
-    return rst.recovered_components(*zones(spark, sf)).select(F.col("cut").alias("zone"), F.col("gate").alias("chave"), _piece())
+    return rst.recovered_components(*zones(spark, sf), grid(spark, sf)["located"]).select(F.col("cut").alias("zone"), F.col("gate").alias("chave"), _piece())
 
 
 @query(
@@ -435,9 +436,11 @@ def impact_query(spark: SparkSession, sf: str) -> DataFrame:
     lost = rst.isolation_table(*zones(spark, sf)).select("zone", (F.col("desligados_ucbt") + F.col("desligados_ucmt")).alias("desligados"))
     graph, isolation = zones(spark, sf)
     regions = impact.node_regions(g["UNTRMT"], g["UCBT_tab"], g["UCMT_tab"]).join(graph.zones, "node").select(F.col("zone").alias("node"), "region", "n")
-    pieces = rst.piece_regions(graph, isolation, regions).select(_piece(), "region", "n")
+    touched = materialise(rst.recovered_components(graph, isolation, g["located"]), "touched")
+    pieces = rst.piece_regions(graph, isolation, regions, pieces=touched).select(_piece(), "region", "n")
+    nodes = touched.select(F.col("cut").alias("zone"), F.col("gate").alias("chave"), _piece())
     return impact.option_impact(
-        options(spark, sf), option_pieces(spark, sf), lost, regions=pieces,
+        options(spark, sf), nodes, lost, regions=materialise(pieces, "regions"),
         totals=impact.region_totals(g["UCBT_tab"], g["UCMT_tab"]),
     ).drop("tempo_reparo_min", "tempo_manobra_min", "dec_minutos", "region_name")
 
