@@ -34,7 +34,7 @@ from gridlake.operators.network import (
     source_table,
     sum_customers,
 )
-from gridlake.session import materialise
+from gridlake.session import discard, materialise
 
 _SEP = "\u0001"
 TOTALS = ["n_nodes", *CUSTOMER_COLUMNS]
@@ -526,30 +526,44 @@ def _tree_walks(
         return rows.join(near.withColumnRenamed("a", "node"), "node").where((F.col("zb") != F.col("zone")) & (F.col("b") != F.col("parent"))).select(
             *keys, F.col("b").alias("node"), F.col("node").alias("parent"), (F.col("length") + F.col("weight")).alias("length"))
 
-    frontier = materialise(entry.join(lengths.withColumnRenamed("node", "y"), "y").select(
-        *keys, F.col("x").alias("node"), F.col("y").alias("parent"), (F.col("length") + F.col("weight")).alias("length")), "front")
-    walked = [frontier]
+    def farthest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.max(F.struct("length", "node")).alias("_t"))
+
+    # of the nodes walked only the farthest stay; a level is dropped when the next is written
+    entered = materialise(entry.join(lengths.withColumnRenamed("node", "y"), "y").select(*keys, "x", "y", (F.col("length") + F.col("weight")).alias("start")), "entered")
+    frontier, held = entered.select(*keys, F.col("x").alias("node"), F.col("y").alias("parent"), F.col("start").alias("length")), None
+    ends = [materialise(farthest(frontier), "ends")]
     while True:
         # two steps per written table
         first = onward(frontier)
         pair = materialise(first.withColumn("_k", F.lit(1)).unionByName(onward(first).withColumn("_k", F.lit(2))), "front")
-        walked.append(pair.drop("_k"))
-        frontier = pair.where("_k = 2").drop("_k")
+        discard(held)
+        ends.append(materialise(farthest(pair), "ends"))
+        frontier, held = pair.where("_k = 2").drop("_k"), pair
         if frontier.isEmpty():
             break
-    reached = materialise(reduce(DataFrame.unionByName, walked).select(*keys, "node", "length"), "reached")
-    far = materialise(reached.groupBy(*keys).agg(F.max(F.struct("length", "node")).alias("_t")).select(*keys, F.col("_t.node").alias("t")).join(
-        entry, keys).select(*keys, "x", "y", "t"), "far")
+    discard(held)
+    far = materialise(reduce(DataFrame.unionByName, ends).groupBy(*keys).agg(F.max("_t").alias("_t")).select(*keys, F.col("_t.node").alias("t")).join(
+        entered, keys), "far")
 
     # the path as ancestors of its ends: up from the switch to the source, and between both ends in the piece
     asked = far.select(F.explode(F.array("x", "y", "t")).alias("node")).distinct()
     up = ancestors_of(asked, jump_tables(forest)).select("node", "anc").unionByName(asked.select("node", F.col("node").alias("anc")))
     up = materialise(up, "up")
     before = far.select(*keys, F.col("y").alias("node")).join(up, "node").select(*keys, F.col("anc").alias("node")).join(lengths, "node").select(*keys, "node", "length")
-    both = far.select(*keys, F.explode(F.array("x", "t")).alias("node")).join(up, "node").groupBy(*keys, F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("_n"))
-    both = materialise(both.join(reached, [*keys, "node"]).join(forest.select("node", "hops"), "node"), "both")
-    turn = both.where("_n = 2").groupBy(*keys).agg(F.max("hops").alias("_turn"))
-    inside = both.join(turn, keys).where("_n = 1 or hops = _turn").select(*keys, "node", "length")
+    both = far.select(*keys, F.explode(F.array(F.struct(F.col("x").alias("node"), F.lit(True).alias("_x")), F.struct(F.col("t").alias("node"), F.lit(False).alias("_x")))).alias("_s")).select(
+        *keys, "_s.*").join(up, "node").groupBy(*keys, F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.max("_x").alias("_x"))
+    level = forest.select("node", "hops").join(own_steps.select("node", "weight"), "node", "left")
+    both = materialise(both.join(level, "node"), "both")
+    turn = both.groupBy(*keys).agg(F.max(F.when(F.col("_n") == 2, F.col("hops"))).alias("_turn"), F.max(F.when(F.col("_x"), F.col("hops"))).alias("_first"))
+    rise = F.col("_first") - F.col("hops")
+    inside = both.join(turn, keys).where("_n = 1 or hops = _turn").withColumn(
+        "_at", F.when(F.col("_x"), rise).otherwise(F.col("_first") + F.col("hops") - 2 * F.col("_turn"))).join(far.select(*keys, "start"), keys)
+    # one option's path at a time; its lengths are added in the order of the path
+    path = Window.partitionBy(*keys).orderBy("_at")
+    added = F.when(F.col("_at") == 0, F.col("start")).when(F.col("_x"), F.lag("weight").over(path)).otherwise(F.col("weight"))
+    inside = inside.withColumn("_w", added).select(
+        *keys, "node", F.sum("_w").over(path.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("length"))
     return before.unionByName(inside)
 
 

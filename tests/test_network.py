@@ -5,7 +5,7 @@ from gridlake.operators import network as net
 from gridlake.operators import restoration as rst
 from gridlake.operators.impact import feeder_region, node_asset_regions, node_regions, option_impact, region_totals
 from gridlake.operators.forest import breadth_first
-from gridlake.session import materialise
+from gridlake.session import app_scratch, list_path, materialise
 
 
 def only(nodes, letter):
@@ -234,3 +234,14 @@ def test_voltage_profile_between_trees_needs_no_search(spark, grid, zones, monke
     monkeypatch.setattr(rst, "shortest_paths", refuse)
     rows = rst.voltage_profile(graph, isolation, grid["edges"], grid["sources"], chosen, volts).collect()
     assert searched and {(r.zone, r.chave, r.barra, r.distancia_m) for r in rows} == {(z, c, n, round(d, 1)) for z, c, n, d in searched}
+
+
+def test_voltage_profile_keeps_no_level_of_the_walk(spark, grid, zones):
+    graph, isolation = zones
+    chosen = rst.restoration_options(graph, isolation).select("zone", "chave", "fonte")
+    volts = spark.createDataFrame([("a7", 0.96)], "barra string, v_pu double")
+    before = set(list_path(spark, app_scratch(spark)))
+    rows = rst.voltage_profile(graph, isolation, grid["edges"], grid["sources"], chosen, volts)
+    left = {name.rsplit("-", 1)[0] for name in set(list_path(spark, app_scratch(spark))) - before}
+    assert "ends" in left and not left & {"front", "reached"}
+    assert rows.count() > 0
